@@ -6,5 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tillscope.session import read
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from tillscope.operators.timestamps import normalise
+
+    return normalise(read(spark, d, "ocr_structured"), read(spark, d, "scan_sites"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found}
 SQL: dict[str, str] = {}

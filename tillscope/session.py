@@ -60,5 +60,10 @@ def small_side(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if few else df), few
 
 
+def staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, computed once: a generator keeps the optimizer from pasting them into every later use."""
+    return df.withColumn("_staged", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))).select(*df.columns, "_staged.*")
+
+
 def lit_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
