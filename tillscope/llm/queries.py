@@ -22,5 +22,11 @@ def p1_annotators(spark: SparkSession, d: str) -> DataFrame:
     return consensus(read(spark, d, "judge_results"))[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_annotators": p1_annotators}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from tillscope.llm.pairs import defects
+
+    return defects(read(spark, d, "judge_results"), read(spark, d, "judge_prompts"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_annotators": p1_annotators, "p5_found": p5_found}
 SQL: dict[str, str] = {}
