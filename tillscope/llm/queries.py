@@ -28,5 +28,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return defects(read(spark, d, "judge_results"), read(spark, d, "judge_prompts"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_annotators": p1_annotators, "p5_found": p5_found}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    from tillscope.llm.tokenizer import encode
+
+    return encode(read(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_annotators": p1_annotators, "p5_found": p5_found, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
