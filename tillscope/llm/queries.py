@@ -34,5 +34,11 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(read(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_annotators": p1_annotators, "p5_found": p5_found, "p6_ids": p6_ids}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from tillscope.llm.sentences import sentences
+
+    return sentences(read(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_annotators": p1_annotators, "p5_found": p5_found, "p6_ids": p6_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}
