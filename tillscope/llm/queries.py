@@ -34,11 +34,17 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(read(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from tillscope.llm.contamination import leaks
+
+    return leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from tillscope.llm.sentences import sentences
 
     return sentences(read(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_annotators": p1_annotators, "p5_found": p5_found, "p6_ids": p6_ids, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_annotators": p1_annotators, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
