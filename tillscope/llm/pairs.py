@@ -62,7 +62,7 @@ _NOTHING = ["json", "null", "none", "nil", "n", "a"]
 
 
 def _words(s: Column) -> Column:
-    return F.filter(F.split(F.lower(F.regexp_replace(s, r"[^\p{L}\p{M}\p{N}']+", " ")), " "), lambda w: w != "")
+    return F.filter(F.split(F.lower(s), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
 def _shingles(words: Column, k: int = 3) -> Column:
@@ -71,17 +71,17 @@ def _shingles(words: Column, k: int = 3) -> Column:
     return F.array_distinct(F.when(n > 0, grams).otherwise(F.array().cast("array<string>")))
 
 
-def _hits(text: Column, lang: str) -> Column:
-    return F.regexp_count(text, F.lit(r"(?<![\p{L}\p{M}])(" + "|".join(WORDS[lang].split()) + r")(?![\p{L}\p{M}])"))
+def _hits(words: Column, lang: str) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(WORDS[lang].split())))
 
 
-def language(text: Column, default: Column) -> Column:
-    """The language of lower-case text; of equal counts ``default``, and it too where nothing speaks for any."""
+def language(text: Column, words: Column, default: Column) -> Column:
+    """The language of a text and its lower-case words; of equal counts ``default``, also where nothing speaks for any."""
     scripts = {"zh": r"\p{IsHan}", "ja": r"[\p{IsHiragana}\p{IsKatakana}]", "ko": r"\p{IsHangul}", "th": r"\p{IsThai}", "ar": r"\p{IsArabic}", "hi": r"\p{IsDevanagari}", "el": r"\p{IsGreek}", "ru": r"\p{IsCyrillic}"}
     foreign = F.regexp_count(text, F.lit(r"[\p{L}&&[^\p{IsLatin}]]"))
     latin = F.regexp_count(text, F.lit(r"\p{IsLatin}+"))
     script = reduce(lambda acc, k: F.when(text.rlike(scripts[k]), k).otherwise(acc), reversed([k for k in scripts if k != "zh"]), F.lit("zh"))
-    counts = {k: _hits(text, k) for k in WORDS}
+    counts = {k: _hits(words, k) for k in WORDS}
     top = F.greatest(*counts.values())
     own = reduce(lambda acc, k: F.when(default == k, counts[k]).otherwise(acc), counts, F.lit(0))
     best = reduce(lambda acc, k: F.when(counts[k] == top, k).otherwise(acc), reversed(list(counts)), F.lit(None).cast("string"))
@@ -192,14 +192,15 @@ def defects(results: DataFrame, prompts: DataFrame, containment: float = 0.6, al
     j = staged(j, said=F.coalesce(said, F.lit("")))
     j = staged(j, w=_words(F.col("said")), pw=_words(F.coalesce("prompt", F.lit(""))))
     sh = _shingles(F.col("w"))
+    # Shingles are only made where two fifths of the distinct words are the prompt's.
+    known = 1 - F.size(F.array_except("w", "pw")) / F.greatest(F.size(F.array_distinct("w")), F.lit(1))
     j = staged(
         j,
         blank=F.size(F.filter("w", lambda x: ~x.isin(_NOTHING))) == 0,
-        inside=F.size(F.array_intersect(sh, _shingles(F.col("pw")))) / F.greatest(F.size(sh), F.lit(1)),
+        inside=F.when(known >= 0.4, F.size(F.array_intersect(sh, _shingles(F.col("pw")))) / F.greatest(F.size(sh), F.lit(1))).otherwise(0.0),
         verdict=(F.size("given") > 0) & F.col("label").isin("REAL", "FAKE"),
         torn=_torn(F.col("raw"), F.col("body")),
-        tongue=F.coalesce("prompt_lang", F.when(F.col("prompt").isNotNull(), language(F.lower("prompt"), F.lit("en")))),
-        low=F.lower(F.regexp_replace("said", "[0-9]+", " ")),
+        tongue=F.coalesce("prompt_lang", F.when(F.col("prompt").isNotNull(), language(F.col("prompt"), F.col("pw"), F.lit("en")))),
     )
     # The alignments are only asked for where they can matter; elsewhere the functions see nulls.
     maybe_copy = (F.col("inside") >= containment) & ~F.col("blank")
@@ -208,9 +209,9 @@ def defects(results: DataFrame, prompts: DataFrame, containment: float = 0.6, al
     j = j.withColumn("refused", refusal_share(REFUSALS)(F.when(~F.col("verdict") & ~F.col("blank"), F.col("said"))))
     j = j.join(off.withColumn("off", F.lit(True)), F.col("result_id") == F.col("_id"), "left")
 
-    own = reduce(lambda acc, k: F.when(F.col("tongue") == k, _hits(F.col("low"), k)).otherwise(acc), WORDS, F.lit(0))
+    own = reduce(lambda acc, k: F.when(F.col("tongue") == k, _hits(F.col("w"), k)).otherwise(acc), WORDS, F.lit(0))
     sure = own >= F.greatest(F.lit(2), F.size("w") * 0.2)
-    other = F.when(F.col("tongue").isNull() | sure, False).otherwise(language(F.col("low"), F.col("tongue")) != F.col("tongue"))
+    other = F.when(F.col("tongue").isNull() | sure, False).otherwise(language(F.col("said"), F.col("w"), F.col("tongue")) != F.col("tongue"))
     defect = (
         F.when(F.col("blank"), "empty")
         .when(maybe_copy & (F.col("aligned") >= containment), "copy")
