@@ -105,45 +105,40 @@ def _tokens(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
-def lcs_share():
-    """An Arrow function: the share of the parts' tokens that common subsequences of each part and the text cover."""
+def alignments(templates: list[str]):
+    """An Arrow function of (parts, prompt, said), any of them null where its measure is not asked for.
 
-    @F.pandas_udf("double")
-    def share(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for parts, texts in batches:
-            out = []
-            for p, t in zip(parts, texts, strict=True):
-                own = [] if p is None else [_tokens(x) for x in p if x]
-                n, whole = sum(map(len, own)), _tokens(t or "")
-                out.append(sum(lcs(x, whole) for x in own) / n if n else 0.0)
-            yield pd.Series(out, dtype="float64")
-
-    return share
-
-
-def refusal_share(templates: list[str]):
-    """An Arrow function: the best cover of a template by one of the text's sentences."""
+    aligned: the share of the parts' tokens that common subsequences of each part and the prompt cover.
+    refused: the best cover of a refusal template by a window of one of the sentences of what is said.
+    """
     split = [t.split() for t in templates]
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def refusal(s: str) -> float:
+        words = re.findall(r"[\w']+", s)
+        # A template is a run of words: only windows a little longer than it are aligned.
+        return max((lcs(t, words[i : i + len(t) + 2]) / len(t) for t in split for i in range(max(1, len(words) - len(t) + 1))), default=0.0) if words else 0.0
+
+    @F.pandas_udf("aligned double, refused double")
+    def measure(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         known: dict[str, float] = {}
-        for texts in batches:
-            out = []
-            for text in texts:
-                best = 0.0
-                for s in re.split(r"[.!?。！？\n]+", (text or "").lower().replace("’", "'")):
-                    if s not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        words = re.findall(r"[\w']+", s)
-                        # A template is a run of words: only windows a little longer than it are aligned.
-                        known[s] = max((lcs(t, words[i : i + len(t) + 2]) / len(t) for t in split for i in range(max(1, len(words) - len(t) + 1))), default=0.0) if words else 0.0
-                    best = max(best, known[s])
-                out.append(best)
-            yield pd.Series(out, dtype="float64")
-
-    return score
+        for parts, prompts, said in batches:
+            aligned, refused = [0.0] * len(said), [0.0] * len(said)
+            for k, p in enumerate(parts):
+                if p is not None:
+                    own = [_tokens(x) for x in p if x]
+                    n, whole = sum(map(len, own)), _tokens(prompts.iloc[k] or "")
+                    aligned[k] = sum(lcs(x, whole) for x in own) / n if n else 0.0
+            for k, text in enumerate(said):
+                if text is not None:
+                    for s in re.split(r"[.!?。！？\n]+", text.lower().replace("’", "'")):
+                        if s not in known:
+                            if len(known) > 50_000:
+                                known.clear()
+                            known[s] = refusal(s)
+                        refused[k] = max(refused[k], known[s])
+            yield pd.DataFrame({"aligned": aligned, "refused": refused})
+
+    return measure
 
 
 def form(reason: Column) -> Column:
@@ -178,18 +173,16 @@ def defects(results: DataFrame, prompts: DataFrame, containment: float = 0.6, al
     given = F.filter("reasons", lambda x: x.isNotNull() & (F.trim(x) != "") & F.contains(F.col("raw"), x))
     r = staged(r, given=F.coalesce(given, F.array().cast("array<string>")), body=F.when(F.instr("raw", "{") > 0, F.substring(F.col("raw"), F.instr("raw", "{"), F.length("raw"))).otherwise(F.col("raw")))
 
-    each = r.select("result_id", F.explode("given").alias("reason")).withColumn("reason", F.trim("reason"))
-    each = each.where(~F.col("reason").rlike(_CLOSED) | F.col("reason").rlike(_CUT)).select("result_id", form(F.col("reason")).alias("form"), F.col("reason").rlike(_CUT).alias("marked"))
-    forms = r.select(F.explode("given").alias("reason")).select(form(F.col("reason")).alias("form")).distinct()
-    bad = broken_forms(forms).withColumn("broken", F.lit(True))
-    off = each.join(bad, "form", "left").where(F.col("marked") | F.col("broken")).select(F.col("result_id").alias("_id")).distinct()
+    cut_off = F.filter("given", lambda x: F.trim(x).rlike(_CUT))
+    open_ = F.filter("given", lambda x: ~F.trim(x).rlike(_CLOSED))
+    forms = cut(r.select(F.explode("given").alias("reason")).select(form(F.col("reason")).alias("form")).distinct())
 
     p = prompts.select("prompt_id", "prompt", "prompt_lang").dropDuplicates(["prompt_id"])
     j = r.drop("reasons").join(p, "prompt_id", "left")
     keys = r"""["'][a-z_]+["']\s*:|```(?:json)?"""
     content = F.regexp_replace("body", keys, " ")
     said = F.when(F.size("given") > 0, F.array_join("given", " ")).otherwise(content)
-    j = staged(j, said=F.coalesce(said, F.lit("")))
+    j = staged(j, said=F.coalesce(said, F.lit("")), marked=F.size(cut_off) > 0, open=F.transform(open_, form))
     j = staged(j, w=_words(F.col("said")), pw=_words(F.coalesce("prompt", F.lit(""))))
     sh = _shingles(F.col("w"))
     # Shingles are only made where two fifths of the distinct words are the prompt's.
@@ -205,20 +198,23 @@ def defects(results: DataFrame, prompts: DataFrame, containment: float = 0.6, al
     # The alignments are only asked for where they can matter; elsewhere the functions see nulls.
     maybe_copy = (F.col("inside") >= containment) & ~F.col("blank")
     parts = F.when(F.size("given") > 0, F.col("given")).otherwise(F.array("said"))
-    j = j.withColumn("aligned", lcs_share()(F.when(maybe_copy, parts), F.when(maybe_copy, F.col("prompt"))))
-    j = j.withColumn("refused", refusal_share(REFUSALS)(F.when(~F.col("verdict") & ~F.col("blank"), F.col("said"))))
-    j = j.join(off.withColumn("off", F.lit(True)), F.col("result_id") == F.col("_id"), "left")
+    asked = [F.when(maybe_copy, parts), F.when(maybe_copy, F.col("prompt")), F.when(~F.col("verdict") & ~F.col("blank"), F.col("said"))]
+    j = j.withColumn("found", alignments(REFUSALS)(*asked))
 
     own = reduce(lambda acc, k: F.when(F.col("tongue") == k, _hits(F.col("w"), k)).otherwise(acc), WORDS, F.lit(0))
     sure = own >= F.greatest(F.lit(2), F.size("w") * 0.2)
     other = F.when(F.col("tongue").isNull() | sure, False).otherwise(language(F.col("said"), F.col("w"), F.col("tongue")) != F.col("tongue"))
-    defect = (
+    early = (
         F.when(F.col("blank"), "empty")
-        .when(maybe_copy & (F.col("aligned") >= containment), "copy")
-        .when(~F.col("verdict") & (F.col("refused") >= alignment), "refusal")
-        .when(F.col("torn") | F.col("off"), "truncated")
-        .when(other, "language")
+        .when(maybe_copy & (F.col("found.aligned") >= containment), "copy")
+        .when(~F.col("verdict") & (F.col("found.refused") >= alignment), "refusal")
+        .when(F.col("torn") | F.col("marked"), "truncated")
     )
+    # From here on only these few values of a row go on.
+    j = cut(j.select("result_id", early.alias("early"), F.when(early.isNull(), other).alias("other"), F.when(early.isNull(), F.col("open")).alias("open")))
+    off = j.select(F.col("result_id").alias("_id"), F.explode("open").alias("form")).join(broken_forms(forms), "form").select("_id").distinct()
+    j = j.join(off.withColumn("off", F.lit(True)), F.col("result_id") == F.col("_id"), "left")
+    defect = F.coalesce("early", F.when(F.col("off"), "truncated"), F.when(F.col("other"), "language"))
     return j.select("result_id", defect.alias("defect")).where("defect is not null")
 
 
