@@ -22,6 +22,12 @@ def p1_annotators(spark: SparkSession, d: str) -> DataFrame:
     return consensus(read(spark, d, "judge_results"))[1]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from tillscope.llm.vocabulary import map_flags
+
+    return map_flags(read(spark, d, "judge_results"), read(spark, d, "flag_catalog"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from tillscope.llm.names import pairs
 
@@ -52,5 +58,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(read(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_annotators": p1_annotators, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_annotators": p1_annotators, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
