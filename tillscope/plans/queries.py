@@ -1,19 +1,476 @@
-"""Registry of the core queries and their SQL."""
+"""Registry of the core queries and the SQL that DuckDB runs on the same tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tillscope.functions import text as X
+from tillscope.operators import audit as A
+from tillscope.operators import evaluate as E
+from tillscope.operators import forensics as N
+from tillscope.operators import judging as J
+from tillscope.operators import sampling as R
+from tillscope.operators import voting as V
+from tillscope.schemas import FLAGS, SKILLS
 from tillscope.session import read
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# --- receipts from orders and their lines -----------------------------------------------------------------------------
+
+_ITEMS = """SELECT l_orderkey AS receipt_id, count(*) AS item_count, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS item_sum,
+ sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(6,2))) * (1 + CAST(l_tax AS DECIMAL(6,2)))) AS due
+FROM lineitem GROUP BY 1"""
+
+
+def _items(s: SparkSession, d: str) -> DataFrame:
+    price, disc, tax = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_discount").cast("decimal(6,2)"), F.col("l_tax").cast("decimal(6,2)")
+    one = F.lit(1).cast("decimal(6,2)")
+    return read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("receipt_id")).agg(F.count("*").alias("item_count"), F.sum(price).alias("item_sum"), F.sum(price * (one - disc) * (one + tax)).alias("due"))
+
+
+@query("receipt_item_sum", f"SELECT receipt_id, item_count, CAST(item_sum AS DOUBLE) AS item_sum FROM ({_ITEMS})")
+def receipt_item_sum(s: SparkSession, d: str) -> DataFrame:
+    return _items(s, d).select("receipt_id", "item_count", F.col("item_sum").cast("double").alias("item_sum"))
+
+
+_CHECK = f"""SELECT o_orderkey AS receipt_id, CAST(round(i.due, 2) AS DOUBLE) AS expected, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS total,
+ CAST(CAST(o_totalprice AS DECIMAL(18,2)) - round(i.due, 2) AS DOUBLE) AS diff,
+ abs(CAST(o_totalprice AS DECIMAL(18,2)) - round(i.due, 2)) <= greatest(0.10, CAST(o_totalprice AS DECIMAL(18,2)) * 0.1) AS passes
+FROM orders o JOIN ({_ITEMS}) i ON o.o_orderkey = i.receipt_id"""
+
+
+@query("receipt_total_check", _CHECK)
+def receipt_total_check(s: SparkSession, d: str) -> DataFrame:
+    total, expected = F.col("o_totalprice").cast("decimal(18,2)"), F.round("due", 2).cast("decimal(18,2)")
+    j = read(s, d, "orders").select(F.col("o_orderkey").alias("receipt_id"), "o_totalprice").join(_items(s, d), "receipt_id")
+    limit = F.greatest(F.lit("0.10").cast("decimal(20,4)"), (total * F.lit("0.1").cast("decimal(2,1)")).cast("decimal(20,4)"))
+    return j.select("receipt_id", expected.cast("double").alias("expected"), total.cast("double").alias("total"), (total - expected).cast("double").alias("diff"), (F.abs(total - expected) <= limit).alias("passes"))
+
+
+@query("receipt_check_by_priority", f"SELECT o_orderpriority AS priority, count(*) AS n, sum(CASE WHEN passes THEN 1 ELSE 0 END) AS n_pass FROM ({_CHECK}) c JOIN orders o ON o.o_orderkey = c.receipt_id GROUP BY 1")
+def receipt_check_by_priority(s: SparkSession, d: str) -> DataFrame:
+    o = read(s, d, "orders").select(F.col("o_orderkey").alias("receipt_id"), F.col("o_orderpriority").alias("priority"))
+    return receipt_total_check(s, d).join(o, "receipt_id").groupBy("priority").agg(F.count("*").alias("n"), F.count_if("passes").alias("n_pass"))
+
+
+# --- receipt text -----------------------------------------------------------------------------------------------------
+
+_LINES = r"""SELECT ocr_id, CAST(i - 1 AS INTEGER) AS idx, ls[i] AS line, regexp_replace(upper(ls[i]), '\s+', ' ', 'g') AS norm FROM (
+ SELECT ocr_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT ocr_id, list_filter(list_transform(string_split(cleaned_text, chr(10)), lambda x: trim(x, ' ' || chr(9))), lambda x: length(x) > 0) AS ls
+ FROM ocr_structured WHERE cleaned_text IS NOT NULL))"""
+
+
+def _ocr(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "ocr_structured").select("ocr_id", "receipt_id", F.col("cleaned_text").alias("text"))
+
+
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    ls = X.lines(X.clean_text(F.col("text")))
+    return _ocr(s, d).select("ocr_id", F.posexplode(ls).alias("idx", "line")).withColumn("norm", X.norm(F.col("line")))
+
+
+_CLEAN = r"regexp_replace(cleaned_text, '[ \t]{2,}', ' ', 'g')"
+_LINES_CLEAN = _LINES.replace("string_split(cleaned_text,", f"string_split({_CLEAN},")
+
+
+@query("ocr_lines", _LINES_CLEAN)
+def ocr_lines(s: SparkSession, d: str) -> DataFrame:
+    return _lines(s, d)
+
+
+_TAGS = " UNION ALL ".join(f"SELECT ocr_id, idx, '{t}' AS tag FROM l WHERE " + " OR ".join(f"contains(norm, '{p}')" for p in ps) for t, ps in X.KEYWORDS.items())
+
+
+@query("ocr_line_keywords", f"WITH l AS ({_LINES_CLEAN}) {_TAGS}")
+def ocr_line_keywords(s: SparkSession, d: str) -> DataFrame:
+    return _lines(s, d).select("ocr_id", "idx", F.explode(X.keywords(F.col("norm"))).alias("tag"))
+
+
+_DATE_SQL = r"""(regexp_matches(line, '\b\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}\b') OR regexp_matches(line, '\b\d{2,4}[/\-.]\d{1,2}[/\-.]\d{1,2}\b')
+ OR regexp_matches(line, '(?i)\b\d{1,2}\s*(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|SEPT|OCT|NOV|DEC)[A-Z]*\s*\d{2,4}\b'))"""
+
+
+@query("ocr_date_candidates", f"SELECT ocr_id, idx, left(line, 80) AS candidate FROM (SELECT *, row_number() OVER (PARTITION BY ocr_id ORDER BY idx) AS r FROM ({_LINES_CLEAN}) WHERE {_DATE_SQL}) WHERE r <= 8")
+def ocr_date_candidates(s: SparkSession, d: str) -> DataFrame:
+    dated = F.slice(F.filter(F.transform(X.lines(X.clean_text(F.col("text"))), lambda x, i: F.struct(i.alias("idx"), x.alias("line"))), lambda r: X.has_date(r["line"])), 1, 8)
+    return _ocr(s, d).select("ocr_id", F.explode(dated).alias("r")).select("ocr_id", F.col("r.idx").alias("idx"), F.left("r.line", F.lit(80)).alias("candidate"))
+
+
+_QUALITY = rf"""SELECT ocr_id, round(least(least(length(regexp_replace(t, '[^\p{{L}}\p{{N}}.,:\-/$%()]', '', 'g')) / greatest(length(t), 1)::DOUBLE * 1.4, 1.0)
+ + CASE WHEN {_DATE_SQL.replace("line", "t")} THEN 0.06 ELSE 0 END
+ + CASE WHEN hits >= 3 THEN 0.08 WHEN hits >= 1 THEN 0.04 ELSE 0 END + CASE WHEN n >= 10 THEN 0.06 WHEN n >= 5 THEN 0.03 ELSE 0 END, 1.0), 6) AS quality
+FROM (SELECT ocr_id, t, len(regexp_extract_all(t, '[.,]\d{{2}}\b')) AS hits, len(list_filter(string_split(t, chr(10)), lambda x: length(trim(x, ' ' || chr(9))) > 0)) AS n
+ FROM (SELECT ocr_id, trim({_CLEAN}, ' ' || chr(9) || chr(10)) AS t FROM ocr_structured WHERE cleaned_text IS NOT NULL))"""
+
+
+@query("ocr_quality", _QUALITY)
+def ocr_quality(s: SparkSession, d: str) -> DataFrame:
+    c = _ocr(s, d).where("text is not null").select("ocr_id", X.clean_text(F.col("text")).alias("c"))
+    return c.select("ocr_id", F.round(X.quality_score(F.col("c"), X.lines(F.col("c"))), 6).alias("quality"))
+
+
+
+
+def _structured(s: SparkSession, d: str) -> DataFrame:
+    return A.structure(_ocr(s, d), "text")
+
+
+@query("ocr_amounts")
+def ocr_amounts(s: SparkSession, d: str) -> DataFrame:
+    return _structured(s, d).select("ocr_id", F.posexplode("all_amounts").alias("pos", "amount"))
+
+
+@query("ocr_line_classes")
+def ocr_line_classes(s: SparkSession, d: str) -> DataFrame:
+    st = _structured(s, d)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_candidates").alias("lines")) for k in ("total", "item", "payment")])
+    return st.select("ocr_id", F.explode(kinds).alias("k")).select("ocr_id", F.col("k.kind").alias("kind"), F.posexplode("k.lines").alias("pos", "line"))
+
+
+@query("ocr_company_lines")
+def ocr_company_lines(s: SparkSession, d: str) -> DataFrame:
+    return _structured(s, d).select("ocr_id", F.posexplode("company_lines").alias("pos", "line"))
+
+
+def _field_sql(tag: str, phrases: list[str]) -> str:
+    fits = " OR ".join(f"contains(norm, '{p}')" for p in X.KEYWORDS[tag] + phrases)
+    score = "CASE " + " ".join(f"WHEN contains(norm, '{p}') THEN {200 - 20 * i}" for i, p in enumerate(phrases)) + " ELSE 0 END"
+    tagged = " OR ".join(f"contains(norm, '{p}')" for p in X.KEYWORDS[tag])
+    return f"SELECT ocr_id, amt FROM (SELECT ocr_id, amt, row_number() OVER (PARTITION BY ocr_id ORDER BY {score} + CASE WHEN {tagged} THEN 50 ELSE 0 END DESC, idx DESC) AS r FROM a WHERE {fits}) WHERE r = 1"
+
+
+# The oracle's tokens: no look-ahead for percentages and no currencies, which change no amount that ends a tagged line here.
+_NO_DATE = r"regexp_replace(regexp_replace(regexp_replace(line, '\b\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}\b', 'x', 'g'), '\b\d{2,4}[/\-.]\d{1,2}[/\-.]\d{1,2}\b', 'x', 'g'), '(?i)\b\d{1,2}\s*(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|SEPT|OCT|NOV|DEC)[A-Z]*\s*\d{2,4}\b', 'x', 'g')"
+_TOKENS = rf"list_filter(regexp_extract_all({_NO_DATE}, '\d{{1,3}}(?:[.,\s]\d{{3}})*(?:[.,]\d{{2,3}})?'), lambda x: regexp_matches(x, '[.,]\d{{2,3}}$') OR coalesce(TRY_CAST(regexp_replace(x, '\D', '', 'g') AS BIGINT), 0) >= 10)"
+_AMOUNTS = rf"SELECT ocr_id, idx, norm, CAST(replace(list_extract({_TOKENS}, -1), ',', '') AS DOUBLE) AS amt FROM ({_LINES_CLEAN}) WHERE len({_TOKENS}) > 0"
+_FIELDS = ("subtotal", "tax", "total", "paid", "change")
+
+
+@query("ocr_fields", f"WITH a AS ({_AMOUNTS}) SELECT o.ocr_id, " + ", ".join(f"{f}.amt AS {f}" for f in _FIELDS) + " FROM ocr_structured o " + " ".join(f"LEFT JOIN ({_field_sql(*A.FIELDS[f])}) {f} ON {f}.ocr_id = o.ocr_id" for f in _FIELDS))
+def ocr_fields(s: SparkSession, d: str) -> DataFrame:
+    return A.arithmetic(_structured(s, d)).select("ocr_id", *[F.col(f).cast("double").alias(f) for f in _FIELDS])
+
+
+@query("ocr_arithmetic")
+def ocr_arithmetic(s: SparkSession, d: str) -> DataFrame:
+    return A.arithmetic(_structured(s, d)).select("ocr_id", "item_count", F.col("item_sum").cast("double").alias("item_sum"), F.size("checks").alias("n_checks"), "arithmetic_consistent", "best_explanation")
+
+
+@query("ocr_semantic_checks")
+def ocr_semantic_checks(s: SparkSession, d: str) -> DataFrame:
+    return A.audit(_ocr(s, d), "text").select("ocr_id", F.explode("semantic_checks").alias("c")).select("ocr_id", F.col("c.name").alias("name"), F.col("c.passed").alias("passed"), F.col("c.details").alias("details"))
+
+
+@query("ocr_rule_flags")
+def ocr_rule_flags(s: SparkSession, d: str) -> DataFrame:
+    return J.rule_flags(A.arithmetic(_structured(s, d))).select("ocr_id", F.explode("rule_flags").alias("flag"))
+
+
+# --- judge answers ----------------------------------------------------------------------------------------------------
+
+_JSON = r"""SELECT result_id, CASE WHEN regexp_extract(x, '(?s)\{.*\}') <> '' THEN regexp_extract(x, '(?s)\{.*\}') ELSE x END AS j
+ FROM (SELECT result_id, trim(regexp_replace(raw_response, '```(json)?', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS x FROM judge_results WHERE raw_response IS NOT NULL)"""
+_SAFE = "CASE WHEN json_valid(j) THEN j ELSE '{}' END"
+# DuckDB takes a comma before a closing bracket for valid.
+_OK = r"CASE WHEN json_valid(j) AND NOT regexp_matches(j, ',\s*[}\]]') THEN json_type(CASE WHEN json_valid(j) THEN j ELSE '{}' END) = 'OBJECT' ELSE FALSE END"
+_FLAG_LIST = ", ".join(f"'{f}'" for f in FLAGS)
+_PARSE = f"""SELECT result_id, CASE WHEN upper(json_extract_string({_SAFE}, '$.label')) IN ('REAL','FAKE','UNCERTAIN') THEN upper(json_extract_string({_SAFE}, '$.label')) ELSE 'UNCERTAIN' END AS label,
+ greatest(0.0, least(100.0, coalesce(TRY_CAST(json_extract_string({_SAFE}, '$.confidence') AS DOUBLE), 0.0))) AS confidence,
+ CASE WHEN lower(json_extract_string({_SAFE}, '$.risk_level')) IN ('low','medium','high') THEN lower(json_extract_string({_SAFE}, '$.risk_level')) ELSE 'low' END AS risk_level,
+ FALSE AS failed FROM ({_JSON}) WHERE {_OK}
+ UNION ALL SELECT result_id, 'UNCERTAIN', 0.0, 'low', TRUE FROM ({_JSON}) WHERE NOT ({_OK})
+ UNION ALL SELECT result_id, 'UNCERTAIN', 0.0, 'low', TRUE FROM judge_results WHERE raw_response IS NULL"""
+
+
+@query("judge_parse", _PARSE)
+def judge_parse(s: SparkSession, d: str) -> DataFrame:
+    p = J.parse_responses(read(s, d, "judge_results").select("result_id", "raw_response"))
+    return p.select("result_id", "label", "confidence", "risk_level", F.col("parse_error").isNotNull().alias("failed"))
+
+
+@query("judge_parse_skills")
+def judge_parse_skills(s: SparkSession, d: str) -> DataFrame:
+    p = J.parse_responses(read(s, d, "judge_results").select("result_id", "raw_response"))
+    return p.select("result_id", F.explode("skill_results").alias("skill", "outcome"))
+
+
+@query("judge_flag_whitelist", f"SELECT result_id, flag FROM (SELECT result_id, unnest(flags) AS flag FROM judge_results) WHERE flag IN ({_FLAG_LIST})")
+def judge_flag_whitelist(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "judge_results").select("result_id", F.explode(J.keep_approved(F.col("flags"))).alias("flag"))
+
+
+_LAST = """SELECT * FROM (SELECT result_id, receipt_id, judge_id, upper(trim(label)) AS label, CASE WHEN coalesce(confidence, 0) <= 1 THEN coalesce(confidence, 0) * 100 ELSE confidence END AS confidence,
+ skill_results, flags, coalesce(risk_level, 'low') AS risk_level, row_number() OVER (PARTITION BY receipt_id, judge_id ORDER BY attempt DESC, judged_at DESC, result_id DESC) AS r
+ FROM judge_results WHERE upper(trim(label)) IN ('REAL','FAKE','UNCERTAIN')) WHERE r = 1"""
+_SKILL_N = "cardinality(skill_results)"
+_UNSURE = "len(list_filter(map_values(skill_results), lambda v: v = 'uncertain'))"
+_U = f"""CASE WHEN label = 'UNCERTAIN' THEN 1.0 ELSE least(1.0, greatest(0.0, 0.55 * (CASE WHEN confidence / 100.0 >= 0.75 THEN 1 - confidence / 100.0 ELSE least(1.0, 0.25 + (0.75 - confidence / 100.0)) END)
+ + 0.35 * {_UNSURE}::DOUBLE / greatest({_SKILL_N}, 1) + CASE WHEN (label = 'FAKE' AND risk_level = 'low') OR (label = 'REAL' AND risk_level = 'high') THEN 0.12 ELSE 0 END)) END"""
+
+
+def _votes(s: SparkSession, d: str) -> DataFrame:
+    """One vote per receipt and judge: the last attempt with a valid label."""
+    r = read(s, d, "judge_results")
+    c = F.coalesce("confidence", F.lit(0.0))
+    r = r.select("result_id", "receipt_id", "judge_id", F.upper(F.trim("label")).alias("label"), F.when(c <= 1, c * 100).otherwise(c).alias("confidence"), "skill_results", "flags", F.coalesce("risk_level", F.lit("low")).alias("risk_level"), "attempt", "judged_at")
+    r = r.where(F.col("label").isin("REAL", "FAKE", "UNCERTAIN"))
+    row = F.struct("result_id", "label", "confidence", "skill_results", "flags", "risk_level")
+    g = r.groupBy("receipt_id", "judge_id").agg(F.max_by(row, F.struct("attempt", "judged_at", "result_id")).alias("v"))
+    return g.select("receipt_id", "judge_id", "v.*")
+
+
+@query("judge_uncertainty", f"SELECT receipt_id, judge_id, round({_U}, 6) AS u FROM ({_LAST})")
+def judge_uncertainty(s: SparkSession, d: str) -> DataFrame:
+    return _votes(s, d).select("receipt_id", "judge_id", F.round(V.judge_uncertainty(None), 6).alias("u"))
+
+
+_COUNTS = f"SELECT receipt_id, count(*) AS n, count(*) FILTER (WHERE label = 'FAKE') AS fake, count(*) FILTER (WHERE label = 'REAL') AS real_n, count(*) FILTER (WHERE label = 'UNCERTAIN') AS unc, avg(confidence) AS avg_c FROM ({_LAST}) GROUP BY 1"
+_VERDICT = f"""SELECT receipt_id, n, fake, real_n, unc, avg_c, CASE WHEN unc >= 2 THEN 'UNCERTAIN' WHEN fake >= n // 2 + 1 THEN 'FAKE' WHEN real_n >= n // 2 + 1 THEN 'REAL' ELSE 'UNCERTAIN' END AS label,
+ CASE WHEN unc >= 2 THEN 'majority_simple (uncertain threshold)' WHEN fake >= n // 2 + 1 OR real_n >= n // 2 + 1 THEN 'majority_simple' ELSE 'majority_simple (no majority)' END AS strategy_used FROM ({_COUNTS})"""
+
+
+def _verdicts(s: SparkSession, d: str) -> DataFrame:
+    return V.vote(_votes(s, d))
+
+
+@query("vote_majority", f"SELECT receipt_id, label, label || ' (' || CASE label WHEN 'FAKE' THEN fake WHEN 'REAL' THEN real_n ELSE unc END || '/' || n || ')' AS tally, strategy_used, round(avg_c, 6) AS avg_confidence FROM ({_VERDICT})")
+def vote_majority(s: SparkSession, d: str) -> DataFrame:
+    return _verdicts(s, d).select("receipt_id", "label", "tally", "strategy_used", F.round("avg_confidence", 6).alias("avg_confidence"))
 
+
+@query("vote_counts", f"SELECT receipt_id, label, n FROM (SELECT receipt_id, label, count(*) AS n FROM ({_LAST}) GROUP BY 1, 2)")
+def vote_counts(s: SparkSession, d: str) -> DataFrame:
+    return _verdicts(s, d).select("receipt_id", F.explode("vote_counts").alias("label", "n"))
+
+
+@query(
+    "verdict_uncertainty",
+    f"""SELECT v.receipt_id, round(least(1.0, 0.5 * (CASE v.label WHEN 'FAKE' THEN real_n WHEN 'REAL' THEN fake ELSE fake + real_n END)::DOUBLE / v.n + 0.5 * u.u), 9) AS verdict_uncertainty
+ FROM ({_VERDICT}) v JOIN (SELECT receipt_id, avg({_U}) AS u FROM ({_LAST}) GROUP BY 1) u ON u.receipt_id = v.receipt_id""",
+)
+def verdict_uncertainty(s: SparkSession, d: str) -> DataFrame:
+    return V.vote(_votes(s, d), digits=None).select("receipt_id", F.round("verdict_uncertainty", 9).alias("verdict_uncertainty"))
+
+
+@query("flag_union", f"SELECT DISTINCT receipt_id, flag FROM (SELECT receipt_id, unnest(flags) AS flag FROM ({_LAST})) WHERE flag IS NOT NULL")
+def flag_union(s: SparkSession, d: str) -> DataFrame:
+    return _verdicts(s, d).select("receipt_id", F.explode("all_flags").alias("flag")).where("flag is not null")
+
+
+_TRUTH = "SELECT receipt_id, upper(trim(label)) AS gt FROM (SELECT id AS receipt_id, label, row_number() OVER (PARTITION BY id ORDER BY row_pos DESC) AS r FROM sample_entries WHERE id IS NOT NULL) WHERE r = 1 AND label IS NOT NULL"
+_JUDGED = f"SELECT v.receipt_id, v.label, g.gt FROM ({_VERDICT}) v JOIN ({_TRUTH}) g ON g.receipt_id = v.receipt_id"
+
+
+def _judged(s: SparkSession, d: str) -> DataFrame:
+    return E.with_truth(_verdicts(s, d), E.last_truth(read(s, d, "sample_entries")))
+
+
+@query(
+    "eval_summary",
+    f"""WITH c AS (SELECT count(*) FILTER (WHERE label = 'FAKE' AND gt = 'FAKE') AS tp, count(*) FILTER (WHERE label = 'REAL' AND gt = 'REAL') AS tn, count(*) FILTER (WHERE label = 'FAKE' AND gt = 'REAL') AS fp,
+ count(*) FILTER (WHERE label = 'REAL' AND gt = 'FAKE') AS fn, count(*) FILTER (WHERE label = 'UNCERTAIN') AS uncertain, count(*) FILTER (WHERE label = gt) AS correct, count(*) AS n FROM ({_JUDGED})),
+ p AS (SELECT *, tp::DOUBLE / greatest(tp + fp, 1) AS p, tp::DOUBLE / greatest(tp + fn, 1) AS r FROM c)
+ SELECT tp + tn + fp + fn + uncertain AS total_evaluated, round(correct::DOUBLE / greatest(n, 1), 4) AS accuracy, round(p, 4) AS precision_fake, round(r, 4) AS recall_fake, round(2 * p * r / greatest(p + r, 1e-9), 4) AS f1_fake, tp, tn, fp, fn, uncertain FROM p""",
+)
+def eval_summary(s: SparkSession, d: str) -> DataFrame:
+    return E.summary(_judged(s, d))
+
+
+@query("eval_confusion", f"SELECT label AS predicted, gt, count(*) AS n FROM ({_JUDGED}) GROUP BY 1, 2")
+def eval_confusion(s: SparkSession, d: str) -> DataFrame:
+    return _judged(s, d).groupBy(F.col("label").alias("predicted"), "gt").agg(F.count("*").alias("n"))
+
+
+@query("disagreement_cases", f"SELECT receipt_id, count(*) AS n_votes, count(DISTINCT label) AS n_labels FROM ({_LAST}) GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT label) > 1")
+def disagreement_cases(s: SparkSession, d: str) -> DataFrame:
+    return E.disagreements(_votes(s, d))
+
+
+@query("flag_frequency", "SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM judge_results) WHERE flag IS NOT NULL GROUP BY 1")
+def flag_frequency(s: SparkSession, d: str) -> DataFrame:
+    return E.flag_frequency(read(s, d, "judge_results"))
+
+
+@query(
+    "per_judge_accuracy",
+    f"SELECT judge_id, count(*) AS n, round(avg(CASE WHEN v.label = g.gt THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) FILTER (WHERE v.label = 'REAL') AS real, count(*) FILTER (WHERE v.label = 'FAKE') AS fake, count(*) FILTER (WHERE v.label = 'UNCERTAIN') AS uncertain FROM ({_LAST}) v JOIN ({_TRUTH}) g ON g.receipt_id = v.receipt_id GROUP BY 1",
+)
+def per_judge_accuracy(s: SparkSession, d: str) -> DataFrame:
+    p = E.per_judge(_votes(s, d), E.last_truth(read(s, d, "sample_entries")))
+    return p.withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("confidence_histogram", "SELECT upper(trim(label)) AS label, CAST(least(floor(c * 20), 19) AS INTEGER) AS bin, count(*) AS n FROM (SELECT label, CASE WHEN confidence > 1 THEN confidence / 100.0 ELSE confidence END AS c FROM judge_results WHERE confidence IS NOT NULL) GROUP BY 1, 2")
+def confidence_histogram(s: SparkSession, d: str) -> DataFrame:
+    r = read(s, d, "judge_results").select(F.upper(F.trim("label")).alias("label"), F.when(F.col("confidence") > 1, F.col("confidence") / 100.0).otherwise(F.col("confidence")).alias("c"))
+    return E.histogram(r, "c", "label")
+
+
+_J8 = [f"judge_{i}" for i in range(1, 25)]
+
+
+@query("uncertainty_matrix", "SELECT receipt_id, " + ", ".join(f"round(avg(CASE WHEN judge_id = '{j}' THEN u END), 6) AS {j}" for j in _J8) + f" FROM (SELECT receipt_id, judge_id, {_U} AS u FROM ({_LAST})) GROUP BY 1")
+def uncertainty_matrix(s: SparkSession, d: str) -> DataFrame:
+    v = _votes(s, d).withColumn("u", V.judge_uncertainty(None))
+    m = E.uncertainty_matrix(v, _J8)
+    return m.select("receipt_id", *[F.round(j, 6).alias(j) for j in _J8])
+
+
+@query("mean_confidence_by_correct", f"SELECT label = gt AS correct, count(*) AS n, round(avg(avg_c), 6) AS mean_confidence FROM (SELECT v.label, v.avg_c, g.gt FROM ({_VERDICT}) v JOIN ({_TRUTH}) g ON g.receipt_id = v.receipt_id) GROUP BY 1")
+def mean_confidence_by_correct(s: SparkSession, d: str) -> DataFrame:
+    return _judged(s, d).groupBy((F.col("label") == F.col("gt")).alias("correct")).agg(F.count("*").alias("n"), F.round(F.avg("avg_confidence"), 6).alias("mean_confidence"))
+
+
+# --- sample entries, files, judges ------------------------------------------------------------------------------------
+
+
+@query("label_counts", "SELECT coalesce(split, 'none') AS split, coalesce(upper(trim(label)), 'none') AS label, count(*) AS n FROM sample_entries GROUP BY 1, 2")
+def label_counts(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "sample_entries").groupBy(F.coalesce("split", F.lit("none")).alias("split"), F.coalesce(F.upper(F.trim("label")), F.lit("none")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("valid_entries", "SELECT id, label, split, image_path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_pos DESC) AS r FROM sample_entries WHERE id IS NOT NULL) WHERE r = 1")
+def valid_entries(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "sample_entries").where("id is not null")
+    return e.groupBy("id").agg(F.max_by(F.struct("label", "split", "image_path"), "row_pos").alias("e")).select("id", "e.*")
+
+
+@query("stratified_sample", f"SELECT receipt_id AS id, gt AS label FROM (SELECT *, row_number() OVER (PARTITION BY gt ORDER BY md5('42|' || receipt_id), receipt_id) AS r FROM ({_TRUTH}) WHERE gt IN ('REAL', 'FAKE')) WHERE r <= 5")
+def stratified_sample(s: SparkSession, d: str) -> DataFrame:
+    e = E.last_truth(read(s, d, "sample_entries")).select(F.col("receipt_id").alias("id"), F.col("gt_label").alias("label"))
+    return R.stratified(e, {"REAL": 5, "FAKE": 5}, strict=False)
+
+
+@query("truth_fallback_join", f"SELECT v.receipt_id, v.label, coalesce(g.gt, 'REAL') AS gt FROM ({_VERDICT}) v LEFT JOIN ({_TRUTH}) g ON g.receipt_id = v.receipt_id")
+def truth_fallback_join(s: SparkSession, d: str) -> DataFrame:
+    v = _verdicts(s, d).withColumn("ground_truth", F.lit("REAL"))
+    return E.with_truth(v, E.last_truth(read(s, d, "sample_entries"))).select("receipt_id", "label", "gt")
+
+
+_STEM = r"regexp_extract(image_path, '([^/]+?)(\.[^./]*)?$', 1)"
+
+
+@query("image_file_join", rf"SELECT e.id, count(f.image_path) AS n_files, min(f.image_path) AS first_path FROM (SELECT DISTINCT id FROM sample_entries WHERE id IS NOT NULL) e LEFT JOIN (SELECT DISTINCT image_path, {_STEM} AS stem FROM sample_entries WHERE image_path IS NOT NULL) f ON f.stem = e.id GROUP BY 1")
+def image_file_join(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "sample_entries")
+    files = e.where("image_path is not null").select("image_path").distinct().withColumn("stem", X.stem_of(F.col("image_path")))
+    return e.where("id is not null").select("id").distinct().join(files, F.col("id") == F.col("stem"), "left").groupBy("id").agg(F.count("image_path").alias("n_files"), F.min("image_path").alias("first_path"))
+
+
+@query("judge_mode_prompts", "SELECT o.receipt_id, j.judge_id, j.forensic_mode AS mode, len(j.focus_skills) AS n_skills FROM (SELECT DISTINCT receipt_id FROM ocr_structured WHERE receipt_id IS NOT NULL) o CROSS JOIN judge_config j")
+def judge_mode_prompts(s: SparkSession, d: str) -> DataFrame:
+    receipts = read(s, d, "ocr_structured").where("receipt_id is not null").groupBy("receipt_id").agg(F.max_by("quality_score", "ocr_id").alias("q"))
+    evidence = receipts.select("receipt_id", F.explode(F.array(*[F.lit(m) for m in ("READING", "GRAPHIC", "FULL")])).alias("mode"), F.to_json(F.struct("q")).alias("evidence"))
+    return J.prompts(evidence, read(s, d, "judge_config")).select("receipt_id", "judge_id", "mode", F.size("skills").alias("n_skills"))
+
+
+_SKILL_CASE = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(SKILLS))
+
+
+@query("skills_in_order", f"SELECT judge_id, array_to_string(list_filter([{', '.join(repr(k) for k in SKILLS)}], lambda k: list_contains(focus_skills, k)), ',') AS skills FROM judge_config")
+def skills_in_order(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "judge_config").select("judge_id", F.array_join(J.normalise_skills(F.col("focus_skills")), ",").alias("skills"))
+
+
+@query("prompts_without_answer", "SELECT prompt_id, receipt_id, judge_id FROM judge_prompts p WHERE NOT EXISTS (SELECT 1 FROM judge_results r WHERE r.prompt_id = p.prompt_id AND len(r.reasons) >= 2 AND r.confidence > 0)")
+def prompts_without_answer(s: SparkSession, d: str) -> DataFrame:
+    done = read(s, d, "judge_results").where("size(reasons) >= 2 and confidence > 0").select("prompt_id")
+    return read(s, d, "judge_prompts").join(done, "prompt_id", "left_anti").select("prompt_id", "receipt_id", "judge_id")
+
+
+# --- relational forensics ---------------------------------------------------------------------------------------------
+
+
+@query("describe_by_label", "SELECT upper(trim(label)) AS label, count(confidence) AS n, round(avg(confidence), 6) AS mean, round(stddev_samp(confidence), 6) AS std, min(confidence) AS low, round(quantile_cont(confidence, 0.25), 6) AS q1, round(quantile_cont(confidence, 0.5), 6) AS q2, round(quantile_cont(confidence, 0.75), 6) AS q3, max(confidence) AS high FROM judge_results GROUP BY 1")
+def describe_by_label(s: SparkSession, d: str) -> DataFrame:
+    r = read(s, d, "judge_results").withColumn("label", F.upper(F.trim("label")))
+    o = E.describe(r, "label", "confidence")
+    return o.select("label", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std")], "low", *[F.round(c, 6).alias(c) for c in ("q1", "q2", "q3")], "high")
+
+
+@query("value_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
+def value_percentiles(s: SparkSession, d: str) -> DataFrame:
+    p = N.percentiles(read(s, d, "events"), "event_type", "value", (0.5, 0.9, 0.99))
+    return p.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")])
+
+
+@query("median_mad", "WITH m AS (SELECT event_type, median(value) AS md FROM events GROUP BY 1) SELECT e.event_type, round(any_value(m.md), 6) AS median, round(median(abs(e.value - m.md)), 6) AS mad FROM events e JOIN m ON m.event_type = e.event_type GROUP BY 1")
+def median_mad(s: SparkSession, d: str) -> DataFrame:
+    return N.median_mad(read(s, d, "events"), "event_type", "value").select("event_type", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
+
+
+@query("tile_zscore", "WITH m AS (SELECT event_type, avg(value) AS a, stddev_pop(value) AS sd FROM events GROUP BY 1) SELECT event_id, round((value - a) / (sd + 1e-6), 5) AS z FROM events e JOIN m ON m.event_type = e.event_type")
+def tile_zscore(s: SparkSession, d: str) -> DataFrame:
+    return N.zscores(read(s, d, "events"), "event_type", "value").select("event_id", F.round("z", 5).alias("z"))
+
+
+@query("tile_summary", "SELECT user_id, round((max(value) - avg(value)) / (stddev_pop(value) + 1e-6), 5) AS max_tile_z, round(avg(value), 6) AS mean_abs_resid, round(stddev_pop(value), 6) AS std_tile FROM events GROUP BY 1")
+def tile_summary(s: SparkSession, d: str) -> DataFrame:
+    return N.tile_summary(read(s, d, "events"), "user_id", "value").select("user_id", F.round("max_tile_z", 5).alias("max_tile_z"), F.round("mean_abs_resid", 6).alias("mean_abs_resid"), F.round("std_tile", 6).alias("std_tile"))
+
+
+@query("percentile_mask", "WITH t AS (SELECT event_type, quantile_cont(value, 0.993) AS t FROM events GROUP BY 1) SELECT event_id FROM events e JOIN t ON t.event_type = e.event_type WHERE value >= t.t")
+def percentile_mask(s: SparkSession, d: str) -> DataFrame:
+    return N.above_percentile(read(s, d, "events"), "event_type", "value").select("event_id")
+
+
+@query("value_entropy", "WITH c AS (SELECT event_type, CAST(floor(value) AS BIGINT) AS x, count(*) AS c FROM events GROUP BY 1, 2), n AS (SELECT event_type, sum(c) AS n FROM c GROUP BY 1) SELECT c.event_type, round(-sum(c.c::DOUBLE / n.n * log2(c.c::DOUBLE / n.n)), 6) AS entropy FROM c JOIN n ON n.event_type = c.event_type GROUP BY 1")
+def value_entropy(s: SparkSession, d: str) -> DataFrame:
+    return N.entropy(read(s, d, "events"), "event_type", F.floor("value").cast("long")).select("event_type", F.round("entropy", 6).alias("entropy"))
+
+
+_KNN = """SELECT q.vec_id AS query, b.vec_id AS neighbour, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (q.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (q.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) AS d
+ FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0"""
+
+
+@query("knn_ratio_matches", f"WITH k AS ({_KNN}), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, neighbour) AS r FROM k) SELECT a.query, a.neighbour, round(a.d, 4) AS d1, round(b.d, 4) AS d2, a.d < 0.9025 * b.d AS good FROM r a JOIN r b ON b.query = a.query AND b.r = 2 WHERE a.r = 1")
+def knn_ratio_matches(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "embeddings").select("vec_id", "embedding")
+    k = N.knn_ratio(e, e.where("vec_id % 50 = 0"), ratio=0.95)
+    return k.select("query", "neighbour", F.round("d1", 4).alias("d1"), F.round("d2", 4).alias("d2"), "good")
+
+
+_MOVE = "SELECT event_type, CAST(user_id % 100 AS INTEGER) AS x, CAST(event_id % 80 AS INTEGER) AS y, CAST(user_id % 100 + floor(value / 100) * 14 AS INTEGER) AS tx, CAST(event_id % 80 + 28 AS INTEGER) AS ty FROM events"
+
+
+@query(
+    "translation_clusters",
+    f"""WITH g AS (SELECT event_type, CAST(floor((tx - x) / 14.0) AS BIGINT) AS bin_x, CAST(floor((ty - y) / 14.0) AS BIGINT) AS bin_y, count(*) AS n, greatest(min(x) - 12, 0) AS src_x, greatest(min(y) - 12, 0) AS src_y, max(x) + 12 AS mx FROM ({_MOVE}) GROUP BY 1, 2, 3),
+ r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, bin_x, bin_y) AS r FROM g WHERE n >= 18) SELECT event_type, bin_x, bin_y, n, src_x, src_y, greatest(mx - src_x, 1) AS src_w FROM r WHERE r <= 2""",
+)
+def translation_clusters(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events")
+    x, y = F.col("user_id") % 100, F.col("event_id") % 80
+    m = e.select("event_type", x.cast("int").alias("x"), y.cast("int").alias("y"), (x + F.floor(F.col("value") / 100) * 14).cast("int").alias("tx"), (y + 28).cast("int").alias("ty"))
+    return N.translation_clusters(m, "event_type").select("event_type", "bin_x", "bin_y", "n", "src_x", "src_y", "src_w")
+
+
+@query("page_text", r"SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '\p{L}')) AS letters FROM documents WHERE text IS NOT NULL")
+def page_text(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "documents").where("text is not null").select("doc_id", F.length("text").alias("n"), F.regexp_count("text", F.lit(r"\p{L}")).alias("letters"))
+
+
+# --- mixed timestamps -------------------------------------------------------------------------------------------------
+
+
+@query("p2_found")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from tillscope.operators.timestamps import normalise
 
     return normalise(read(spark, d, "ocr_structured"), read(spark, d, "scan_sites"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found}
-SQL: dict[str, str] = {}
