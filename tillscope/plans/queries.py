@@ -474,3 +474,47 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from tillscope.operators.timestamps import normalise
 
     return normalise(read(spark, d, "ocr_structured"), read(spark, d, "scan_sites"))
+
+
+# --- images, whole run, sessions --------------------------------------------------------------------------------------
+
+
+def _images(s: SparkSession, d: str) -> DataFrame:
+    """A drawn image per embedding: no table holds pictures, so vectors are laid out as 128 x 128 gray tiles."""
+    cell = F.transform("embedding", lambda v: F.unhex(F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), (v * 400 + 128).cast("int"))).cast("long")), 2, "0")))
+    row = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.array_join(F.transform(F.slice(F.transform(cell, lambda b: F.hex(b)), r * 8 + 1, 8), lambda h: F.repeat(F.concat(h, h, h), F.lit(16))), ""))
+    data = F.unhex(F.array_join(F.transform(row, lambda r: F.repeat(r, F.lit(16))), ""))
+    img = F.struct(F.lit(128).alias("height"), F.lit(128).alias("width"), F.lit(3).alias("nChannels"), data.alias("data"))
+    return read(s, d, "embeddings").select("vec_id", img.alias("image"))
+
+
+@query("image_features")
+def image_features(s: SparkSession, d: str) -> DataFrame:
+    from tillscope.operators.imaging.analyzers import features
+
+    f = features(_images(s, d).repartition(16), "GRAPHIC")
+    return f.select("vec_id", "global_.*", F.col("forensic.suspicious_ratio"), F.col("forensic.max_tile_z"), F.size("forensic.rois").alias("n_rois"))
+
+
+@query("image_copy_move")
+def image_copy_move(s: SparkSession, d: str) -> DataFrame:
+    from tillscope.operators.imaging.analyzers import copy_move
+
+    return copy_move(_images(s, d).repartition(16), "vec_id")
+
+
+@query("offline_verdicts")
+def offline_verdicts(s: SparkSession, d: str) -> DataFrame:
+    from tillscope.plans.pipeline import ReceiptAudit
+
+    ocr = read(s, d, "ocr_structured").where("receipt_id is not null")
+    receipts = ocr.groupBy("receipt_id").agg(F.max_by("cleaned_text", F.struct("quality_score", "ocr_id")).alias("text"))
+    a = ReceiptAudit(s, read(s, d, "judge_config"))
+    return a.verdicts(a.judge(receipts)).select("receipt_id", "label", "tally", "strategy_used", "verdict_uncertainty")
+
+
+@query("judge_sessions")
+def judge_sessions(s: SparkSession, d: str) -> DataFrame:
+    from tillscope.streaming.votes import judge_sessions as sessions
+
+    return sessions(read(s, d, "judge_results").select("judge_id", "judged_at"))
