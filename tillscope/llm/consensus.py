@@ -111,7 +111,8 @@ def message_passing(
             joined = joined.repartition("receipt_id")
         state = cut(spread(joined, y))
 
-    y = {k: (F.col(f"y{k}") / F.greatest(F.col("d"), F.lit(1))) for k in n}
+    # An annotator of whom nothing is known is trusted a little, so a lone vote stands.
+    y = {k: (F.col(f"y{k}") / F.greatest(F.col("d"), F.lit(1)) + 1e-6) for k in n}
     totals = cut(state.groupBy("judge_id").agg(F.count("*").alias("d"), *[F.sum(sign[k] * F.col(f"x{k}")).alias(f"y{k}") for k in n]))
     scored = _back(state.select("receipt_id", "judge_id", "label"), totals, few)
     first = scored.groupBy("receipt_id").agg(*[F.sum(sign[k] * y[k]).alias(f"s{k}") for k in n])
