@@ -17,7 +17,7 @@ from tillscope.functions.text import ANY_DATE
 
 #: Currency marks.
 _CUR = r"(?i:RM|MYR|USD|SGD|EUR|GBP|COP|MXN|BRL|PEN|\$|€|£)"
-_TAIL = r"(?:[.,\s]\d{3})*(?:[.,]\d{2,3})?[)\-]?"
+_TAIL = rf"(?:[.,\s](?!{ANY_DATE})\d{{3}})*(?:[.,]\d{{2,3}})?[)\-]?"
 _GROUPED = r"[(\-]?\d{1,3}(?:[.,\s]\d{3})*(?:[.,]\d{2,3})?[)\-]?"
 _PLAIN = r"[(\-]?\d+(?:[.,]\d{2,3})?[)\-]?"
 
@@ -26,7 +26,9 @@ def pattern(compat: bool = True) -> str:
     """Group 1 is the currency, group 2 the number; both empty for a date."""
     number = f"{_GROUPED}|{_PLAIN}" if compat else rf"[(\-]?\d{{1,3}}(?:[.,]\d{{3}})+(?:[.,]\d{{2,3}})?(?!\d)[)\-]?|{_PLAIN}"
     date = f"(?:{ANY_DATE})"
-    return rf"{date}{_TAIL}|(?!{_CUR}?\s*[(\-]?{date})({_CUR})?\s*({number})(?!\s*%)"
+    # An amount whose groups would run into a date belongs to the date, too.
+    joined = rf"{_CUR}?\s*[(\-]?\d{{1,3}}(?:[.,\s]\d{{3}})*[.,\s](?=\d{{3}}){date}"
+    return rf"{date}{_TAIL}|(?!{_CUR}?\s*[(\-]?{date})(?!{joined})({_CUR})?\s*({number})(?!\s*%)"
 
 
 def parse_decimal(num: Column) -> Column:
