@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tillscope.functions.text import ANY_DATE
+from tillscope.session import let
 
 #: Currency marks.
 _CUR = r"(?i:RM|MYR|USD|SGD|EUR|GBP|COP|MXN|BRL|PEN|\$|€|£)"
@@ -31,30 +32,30 @@ def pattern(compat: bool = True) -> str:
     return rf"{date}{_TAIL}|(?!{_CUR}?\s*[(\-]?{date})(?!{joined})({_CUR})?\s*({number})(?!\s*%)"
 
 
-def parse_decimal(num: Column) -> Column:
-    """decimal(18,3) of an amount's text, null if it is none."""
-    s = F.trim(num)
-    bracketed = F.startswith(s, F.lit("(")) & F.endswith(s, F.lit(")"))
-    inner = F.when(bracketed, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
-    trailing = inner.rlike(r"^[\s\d.,]*\d[\s.,]*-$")
-    inner = F.when(trailing, F.left(inner, F.length(inner) - 1)).otherwise(inner)
-    leading = F.startswith(inner, F.lit("-"))
-    digits = F.regexp_replace(F.when(leading, F.substring(inner, F.lit(2), F.length(inner))).otherwise(inner), r"\s+", "")
-    n = F.length(digits)
-    dot = n - F.instr(F.reverse(digits), ".") + 1
-    com = n - F.instr(F.reverse(digits), ",") + 1
-    has_dot, has_com = F.instr(digits, ".") > 0, F.instr(digits, ",") > 0
-    after_dot, after_com = n - dot, n - com
-    plain = (
-        F.when(has_dot & has_com & (dot > com), F.translate(digits, ",", ""))
-        .when(has_dot & has_com, F.translate(F.translate(digits, ".", ""), ",", "."))
-        .when(has_dot & after_dot.isin(2, 3), digits)
-        .when(has_dot, F.translate(digits, ".", ""))
-        .when(has_com & after_com.isin(2, 3), F.translate(digits, ",", "."))
+def _plain_number(digits: Column) -> Column:
+    """The separators of a number decided: both kinds, the last is decimal; one kind, decimal before 2 or 3 digits."""
+    back = F.reverse(digits)
+    after_dot, after_com = F.instr(back, ".") - 1, F.instr(back, ",") - 1  # -1: there is none
+    return (
+        F.when((after_dot >= 0) & (after_com >= 0) & (after_dot < after_com), F.translate(digits, ",", ""))
+        .when((after_dot >= 0) & (after_com >= 0), F.translate(F.translate(digits, ".", ""), ",", "."))
+        .when(after_dot.isin(2, 3), digits)
+        .when(after_dot >= 0, F.translate(digits, ".", ""))
+        .when(after_com.isin(2, 3), F.translate(digits, ",", "."))
         .otherwise(F.translate(digits, ",", ""))
     )
-    value = F.when(plain.rlike(r"^(\d+\.?\d*|\.\d+)$"), plain.try_cast("decimal(18,3)"))
-    return F.when(bracketed | trailing | leading, -value).otherwise(value).cast("decimal(18,3)")
+
+
+def parse_decimal(num: Column) -> Column:
+    """decimal(18,3) of an amount's text, null if it is none."""
+
+    def read(s: Column) -> Column:
+        negative = s.rlike(r"^\(.*\)$|^[\s\d.,]*\d[\s.,]*-$|^-")
+        bare = F.regexp_replace(F.regexp_replace(s, r"^\((.*)\)$", "$1"), r"^-|(?<=[\d.,\s])-$|\s+", "")
+        value = let(let(bare, _plain_number), lambda p: F.when(p.rlike(r"^(\d+\.?\d*|\.\d+)$"), p.try_cast("decimal(18,3)")))
+        return F.when(negative, -value).otherwise(value).cast("decimal(18,3)")
+
+    return let(F.trim(num), read)
 
 
 def money_tokens(line: Column, limit: int = 6, compat: bool = True) -> Column:

@@ -65,5 +65,10 @@ def staged(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumn("_staged", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))).select(*df.columns, "_staged.*")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also inside the functions of arrays."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def lit_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
