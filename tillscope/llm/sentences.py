@@ -24,9 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.session import staged
+from tillscope.session import let, staged
 
 W = r"\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _LINE = r"(?:\r\n|[\n\r\u2028\u2029\u0085\u000B\u000C])"
 #: Placeholders: a masked mark, the last mark of a quotation, a mark that ends in any script, paragraph and unit separators.
 MASK, LAST, END, PARA, UNIT = "\ue000", "\ue001", "\ue002", "\ue0fe", "\ue0ff"
@@ -55,18 +56,31 @@ def _sub(s: Column, pattern: str, by: str) -> Column:
 def _mask_quotes(p: Column) -> Column:
     """Mask the marks inside quotations of a paragraph; the last mark of each becomes LAST."""
     inner = "".join(TERMS)
-    parts = F.split(p, '"')
 
-    def inside(x: Column, i: Column) -> Column:
-        quoted = (i % 2 == 1) & (i < F.size(parts) - 1)
-        return F.when(quoted, F.translate(_sub(x, rf"[{inner}]$", LAST), inner, MASK * len(inner))).otherwise(x)
+    def straight(x: Column) -> Column:
+        parts = F.split(x, '"')
 
-    out = F.when(F.instr(p, '"') > 0, F.array_join(F.transform(parts, inside), '"')).otherwise(p)
-    for a, b in (("“", "”"), ("«", "»"), ("「", "」"), ("『", "』")):
-        masked = _sub(_sub(out, rf"[{inner}](?=[{W}]?{b})", LAST), rf"[{inner}](?=[^{a}{b}]*{b})", MASK)
-        out = F.when(F.instr(out, b) > 0, masked).otherwise(out)
-    german = _sub(_sub(out, rf"[{inner}](?=[“”])", LAST), rf"[{inner}](?=[^„“”]*[“”])", MASK)
-    return F.when(F.instr(out, "„") > 0, german).otherwise(out)
+        def inside(y: Column, i: Column) -> Column:
+            quoted = (i % 2 == 1) & (i < F.size(parts) - 1)
+            return F.when(quoted, F.translate(_sub(y, rf"[{inner}]$", LAST), inner, MASK * len(inner))).otherwise(y)
+
+        return F.when(F.instr(x, '"') > 0, F.array_join(F.transform(parts, inside), '"')).otherwise(x)
+
+    def paired(a: str, b: str):
+        return lambda x: F.when(F.instr(x, b) > 0, _sub(_sub(x, rf"[{inner}](?=[{W}]?{b})", LAST), rf"[{inner}](?=[^{a}{b}]*{b})", MASK)).otherwise(x)
+
+    def german(x: Column) -> Column:
+        return F.when(F.instr(x, "„") > 0, _sub(_sub(x, rf"[{inner}](?=[“”])", LAST), rf"[{inner}](?=[^„“”]*[“”])", MASK)).otherwise(x)
+
+    def curly(x: Column) -> Column:
+        out = x
+        for f in (paired("“", "”"), paired("«", "»"), paired("「", "」"), paired("『", "』"), german):
+            out = let(out, f)
+        return out
+
+    # Most paragraphs have no quotation at all.
+    p = let(p, straight)
+    return let(p, lambda x: F.when(x.rlike("[”»」』“]"), curly(x)).otherwise(x))
 
 
 def _mask_points(p: Column) -> Column:
@@ -80,14 +94,23 @@ def _mask_points(p: Column) -> Column:
 
 
 def _separate(p: Column) -> Column:
-    """Put UNIT behind every sentence end of a masked paragraph."""
-    p = _sub(p, rf";(?<=\p{{IsGreek}}[\u0300-\u036f]?;)(?=[{W}]|$)", END)
-    p = _sub(p, rf"([：:][{W}]?[“「『\"][^“”「」『』\"]*){LAST}(?=[”」』\"](?:[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}（]|$))", f"$1{END}")
-    p = _sub(p, r"(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])……(?=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{N}“「（])", f"…{END}")
-    p = _sub(p, rf"([.!?…؟।॥{LAST}{END}][.!?…؟।॥]*+[{_CLOSE}]*+){_NEXT}", f"$1{UNIT}")
-    p = _sub(p, rf"([。！？｡{END}][。！？｡!?…]*+[{_CLOSE.replace('“', '')}]*+)(?=[^{W}{UNIT}，、；：,;:])", f"$1{UNIT}")
-    p = _sub(p, rf"((?:[\p{{Ll}}\p{{M}}]{{2}}|\p{{N}}{{2}})[.!?][\"”»\)]?+)(?=[¿¡«“\(]?\p{{Lu}}\p{{M}}?\p{{Ll}})", f"$1{UNIT}")
-    return _sub(p, r"(?<=[\p{IsThai}&&[^๐-๙]])[ \t\u00A0\u2009\u3000]+(?=[^\p{N}\s])(?![\n\r])", f"{UNIT}$0")
+    """Put UNIT behind every sentence end of a masked paragraph. Rules of a script run only where it occurs."""
+
+    def where(x: Column, there: Column, pattern: str, by: str) -> Column:
+        return F.when(there, _sub(x, pattern, by)).otherwise(x)
+
+    rules = [
+        lambda x: where(x, F.instr(x, ";") > 0, rf";(?<=\p{{IsGreek}}[\u0300-\u036f]?;)(?=[{W}]|$)", END),
+        lambda x: where(x, F.instr(x, LAST) > 0, rf"([：:][{W}]?[“「『\"][^“”「」『』\"]*){LAST}(?=[”」』\"](?:[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}（]|$))", f"$1{END}"),
+        lambda x: where(x, F.instr(x, "……") > 0, r"(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])……(?=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{N}“「（])", f"…{END}"),
+        lambda x: _sub(x, rf"([.!?…؟।॥{LAST}{END}][.!?…؟।॥]*+[{_CLOSE}]*+){_NEXT}", f"$1{UNIT}"),
+        lambda x: where(x, x.rlike(f"[。！？｡{END}]"), rf"([。！？｡{END}][。！？｡!?…]*+[{_CLOSE.replace('“', '')}]*+)(?=[^{W}{UNIT}，、；：,;:])", f"$1{UNIT}"),
+        lambda x: where(x, x.rlike(r"[.!?][\"”»\)]?[¿¡«“\(]?\p{Lu}"), rf"((?:[\p{{Ll}}\p{{M}}]{{2}}|\p{{N}}{{2}})[.!?][\"”»\)]?+)(?=[¿¡«“\(]?\p{{Lu}}\p{{M}}?\p{{Ll}})", f"$1{UNIT}"),
+        lambda x: where(x, x.rlike(r"\p{IsThai}"), r"(?<=[\p{IsThai}&&[^๐-๙]])[ \t\u00A0\u2009\u3000]+(?=[^\p{N}\s])(?![\n\r])", f"{UNIT}$0"),
+    ]
+    for rule in rules:
+        p = let(p, rule)
+    return p
 
 
 def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout_col: str = "layout") -> DataFrame:
@@ -105,8 +128,8 @@ def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def step(acc: Column, u: Column) -> Column:
         n = F.length(u).cast("bigint")
-        lead = n - F.length(_sub(u, f"^[{W}]+", ""))
-        tail = n - F.length(_sub(u, f"[{W}]+$", ""))
+        lead = n - F.length(F.ltrim(u, F.lit(SPACES)))
+        tail = n - F.length(F.rtrim(u, F.lit(SPACES)))
         one = F.array(F.struct((acc["at"] + lead).alias("s"), (acc["at"] + n - tail).alias("e")))
         return F.struct((acc["at"] + n).alias("at"), F.when(lead < n, F.concat(acc["units"], one)).otherwise(acc["units"]).alias("units"))
 
