@@ -81,7 +81,7 @@ def message_passing(
         tot = own.withColumns({f"t{k}": F.sum(f"p{k}").over(item) for k in n})
         return tot.select("receipt_id", "judge_id", "label", *[(F.col(f"t{k}") - F.col(f"p{k}")).alias(f"x{k}") for k in n])
 
-    edges = edges.select("receipt_id", "judge_id", "label").repartition("receipt_id")
+    edges = cut(edges.select("receipt_id", "judge_id", "label").repartition("receipt_id"))
     few = edges.select("judge_id").distinct().limit(max_broadcast_annotators + 1).count() <= max_broadcast_annotators
     state = cut(spread(edges, [F.lit(1.0)] * len(classes)))
     last: list[float] | None = None
