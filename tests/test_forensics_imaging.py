@@ -48,6 +48,16 @@ def test_features_and_errors(spark, receipt):
     assert "global_" not in features(d, "READING").columns
 
 
+def test_artifacts(receipt):
+    heat = np.zeros((128, 128))
+    heat[10:20, 10:20] = 1
+    assert K.overlay(receipt, heat)[15, 15].tolist() != receipt[15, 15].tolist() and (K.overlay(receipt, heat)[100, 5] == receipt[100, 5]).all()
+    assert K.crop(receipt, 120, 120, 50, 50).shape == (8, 8, 3)
+    boxed = K.draw_boxes(receipt, [(10, 10, 20, 20)])
+    assert boxed[10, 15].tolist() == [255, 0, 0] and boxed[15, 15].tolist() == receipt[15, 15].tolist()
+    assert K.upsample(np.array([[-1.0, 2.0]]), 4, (5, 8)).max() == 1.0 and K.upsample(np.array([[-1.0, 2.0]]), 4, (5, 8)).shape == (5, 8)
+
+
 def test_png_header(spark, receipt):
     b = png_bytes(receipt)
     h = read_header(b)
@@ -79,7 +89,7 @@ def test_knn_blocks_agree_with_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 8))
     d = spark.createDataFrame([(i, x[i].tolist()) for i in range(60)], "vec_id long, embedding array<double>")
-    got = {r["query"]: r for r in N.knn_ratio(d, d.where("vec_id % 10 = 0"), blocks=5).collect()}
+    got = {r["query"]: r for r in N.knn_ratio(d, d.where("vec_id % 10 = 0"), block_rows=10, block_queries=2).collect()}
     for q in range(0, 60, 10):
         dist = ((x - x[q]) ** 2).sum(1)
         dist[q] = np.inf

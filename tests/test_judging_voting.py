@@ -103,6 +103,16 @@ def test_skills(spark):
         spark.createDataFrame([(["odd"],)], "s array<string>").select(J.normalise_skills(F.col("s"))).collect()
 
 
+def test_messages_and_artifacts(spark):
+    d = spark.createDataFrame([("p", ["data:1"], "FULL"), ("p", [], "READING")], "p string, i array<string>, m string")
+    m = [json.loads(r[0]) for r in d.select(J.message(F.col("p"), F.col("i"), F.lit("You judge."), False)).collect()]
+    assert m[0][0] == {"role": "system", "content": "You judge."} and [c["type"] for c in m[0][1]["content"]] == ["text", "image_url"] and len(m[1][1]["content"]) == 1
+    first = json.loads(d.select(J.message(F.col("p"), F.col("i"))).first()[0])
+    assert [c["type"] for c in first[0]["content"]] == ["image_url", "text"]
+    got = [r[0] for r in d.select(J.supporting_images(F.col("m"), F.lit(["noise/noise_heat.png", "x.png", "mela/mela_heat.png"]))).collect()]
+    assert got == [["mela/mela_heat.png", "noise/noise_heat.png"], []] and J.client_for("any") is J.RuleJudge
+
+
 def test_calls_retry(spark):
     def client():
         seen = {}

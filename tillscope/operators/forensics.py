@@ -50,20 +50,23 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def knn_ratio(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ratio: float = 0.75, blocks: int = 16) -> DataFrame:
+def knn_ratio(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ratio: float = 0.75, block_rows: int = 20_000, block_queries: int = 2_000) -> DataFrame:
     """(query, neighbour, d1, d2, good): the nearest other vector of each query and whether it passes the ratio test.
 
-    Squared distances; good where d1 < ratio^2 * d2. A stated query set meets all vectors in ``blocks`` of them: each
+    Squared distances; good where d1 < ratio^2 * d2. A stated query set meets all vectors block by block: the numbers of
+    blocks of both sides follow their counts, so a task compares at most about ``block_rows`` x ``block_queries``. A
     block keeps its two nearest per query, and only those are compared across blocks. Ties go to the smaller id. Exact.
     """
-    q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("qv"))
-    base = vectors.select(F.col(id_col).alias("neighbour"), F.col(vec_col).alias("bv")).withColumn("block", F.pmod(F.xxhash64("neighbour"), F.lit(blocks)))
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    d = q.join(base, "block").where("query <> neighbour").withColumn("d", _dot(F.col("qv"), F.col("bv")))
-    near = F.slice(F.array_sort(F.collect_list(F.struct("d", "neighbour"))), 1, 2)
-    top = F.row_number().over(Window.partitionBy("query", "block").orderBy("d", "neighbour"))
-    two = d.select("query", "block", "d", "neighbour").withColumn("r", top).where("r <= 2")
-    g = two.groupBy("query").agg(near.alias("near"))
+    nb = max(4, -(-vectors.count() // block_rows))
+    nq = max(1, -(-queries.count() // block_queries))
+    q = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("qv")).withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(nq)))
+    q = q.withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    base = vectors.select(F.col(id_col).alias("neighbour"), F.col(vec_col).alias("bv")).withColumn("bb", F.pmod(F.xxhash64("neighbour"), F.lit(nb)))
+    base = base.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    d = q.join(base, ["qb", "bb"]).where("query <> neighbour").withColumn("d", _dot(F.col("qv"), F.col("bv")))
+    top = F.row_number().over(Window.partitionBy("query", "bb").orderBy("d", "neighbour"))
+    two = d.select("query", "bb", "d", "neighbour").withColumn("r", top).where("r <= 2")
+    g = two.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "neighbour"))), 1, 2).alias("near"))
     d1, d2 = F.get("near", 0), F.get("near", 1)
     return g.select("query", d1["neighbour"].alias("neighbour"), d1["d"].alias("d1"), d2["d"].alias("d2"), (d1["d"] < ratio * ratio * d2["d"]).alias("good"))
 

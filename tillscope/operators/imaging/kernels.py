@@ -198,6 +198,32 @@ def noise_summary(g: np.ndarray) -> dict:
     return {"max_tile_z": float(z.max()), "mean_abs_resid": float(m.mean()), "std_tile": float(m.std())}
 
 
+def upsample(tile_values: np.ndarray, size: int, shape: tuple[int, int]) -> np.ndarray:
+    """Tile values spread over the pixels, zero beyond the tiles, negative ones at zero, scaled to 1."""
+    big = np.zeros(shape)
+    up = np.kron(np.maximum(tile_values, 0), np.ones((size, size)))[: shape[0], : shape[1]]
+    big[: up.shape[0], : up.shape[1]] = up
+    return big / big.max() if big.max() > 0 else big
+
+
+def overlay(rgb: np.ndarray, heat: np.ndarray, strength: float = 0.5) -> np.ndarray:
+    """The image with a red veil where the map (0..1) is high."""
+    w = (np.clip(heat, 0, 1) * strength)[..., None]
+    return np.rint(rgb * (1 - w) + np.array([255.0, 0, 0]) * w).astype(np.uint8)
+
+
+def crop(rgb: np.ndarray, x: int, y: int, w: int, h: int) -> np.ndarray:
+    return rgb[max(y, 0) : y + h, max(x, 0) : x + w]
+
+
+def draw_boxes(rgb: np.ndarray, boxes: list[tuple[int, int, int, int]], colour: tuple[int, int, int] = (255, 0, 0)) -> np.ndarray:
+    out = rgb.copy()
+    for x, y, w, h in boxes:
+        out[y, x : x + w] = out[min(y + h, out.shape[0]) - 1, x : x + w] = colour
+        out[y : y + h, x] = out[y : y + h, min(x + w, out.shape[1]) - 1] = colour
+    return out
+
+
 def keypoints(g: np.ndarray, limit: int = 3500, threshold: float = 12, bits: int = 256, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(x, y) of corner-like points and packed binary descriptors of the patch around each."""
     gx, gy = sobel(gaussian(g, 1.0))

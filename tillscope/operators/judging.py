@@ -140,6 +140,34 @@ def prompts(evidence: DataFrame, judges: DataFrame, max_judges: int = 10_000) ->
 Client = Callable[[dict], str]
 
 
+def message(prompt: Column, images: Column, persona: Column | None = None, images_first: bool = True) -> Column:
+    """The JSON messages of a chat request: images (data URLs) before or after the text, the persona as system message."""
+    parts = F.transform(images, lambda u: F.struct(F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("text"), F.struct(u.alias("url")).alias("image_url")))
+    text = F.array(F.struct(F.lit("text").alias("type"), prompt.alias("text"), F.lit(None).cast("struct<url:string>").alias("image_url")))
+    user = F.to_json(F.struct(F.lit("user").alias("role"), (F.concat(parts, text) if images_first else F.concat(text, parts)).alias("content")))
+    if persona is None:
+        return F.concat(F.lit("["), user, F.lit("]"))
+    return F.concat(F.lit("["), F.to_json(F.struct(F.lit("system").alias("role"), persona.alias("content"))), F.lit(","), user, F.lit("]"))
+
+
+#: Clients by a word that a model's name contains; the last is the default. Network clients are registered by the caller.
+CLIENTS: dict[str, Callable[[], Client]] = {}
+
+
+def client_for(model: str) -> Callable[[], Client]:
+    return next((make for word, make in CLIENTS.items() if word in model), RuleJudge)
+
+
+#: The supporting pictures that a visual judge may see, in order.
+SUPPORTING = ["mela/mela_heat.png", "mela/mela_overlay.png", "mela/mela_rois.png", "noise/noise_overlay.png", "noise/noise_heat.png", "copymove/copymove_rois.png"]
+
+
+def supporting_images(mode: Column, present: Column) -> Column:
+    """The artifacts that exist, in the fixed order; none for READING."""
+    wanted = F.filter(F.array(*[F.lit(s) for s in SUPPORTING]), lambda s: F.array_contains(present, s))
+    return F.when(mode.isin("GRAPHIC", "FULL"), wanted).otherwise(F.array().cast("array<string>"))
+
+
 def call_judges(rows: DataFrame, make_client: Callable[[], Client], max_attempts: int = 3) -> DataFrame:
     """Adds raw_response, attempts and call_error by calling the client per row, with retries on exceptions only.
 

@@ -55,6 +55,14 @@ def locate(entries: DataFrame, index: DataFrame, column: str) -> DataFrame:
     return entries.join(best, "receipt_id", "left")
 
 
+def with_hint(entries: DataFrame, index: DataFrame, hint: str, column: str) -> DataFrame:
+    """Adds ``column``: the hinted path where such a file exists, else the one that is found by name."""
+    known = index.select(F.col("path").alias("_path"))
+    found = locate(entries, index, "_found")
+    kept = found.join(known, F.col("_path") == F.col(hint), "left")
+    return kept.withColumn(column, F.coalesce("_path", "_found")).drop("_path", "_found")
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
     """(origin, image) decoded; undecodable files are kept with an empty image."""
     d = spark.read.format("image").load(path)
