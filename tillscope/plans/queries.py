@@ -127,23 +127,50 @@ def ocr_quality(s: SparkSession, d: str) -> DataFrame:
 
 
 
+# The oracle's tokens: no look-ahead for percentages and no currencies, which change no amount that ends a tagged line here.
+_RUN = r"(?:[.,\s]\d{3})*(?:[.,]\d{2,3})?"
+_NO_DATE = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '(^|[^0-9.,])\d{{1,3}}(?:[.,\s]\d{{3}})*[.,\s]\d{{3,4}}[/\-.]\d{{1,2}}[/\-.]\d{{1,2}}\b{_RUN}', 'x', 'g'), '\b\d{{1,2}}[/\-.]\d{{1,2}}[/\-.]\d{{2,4}}\b{_RUN}', 'x', 'g'), '\b\d{{2,4}}[/\-.]\d{{1,2}}[/\-.]\d{{1,2}}\b{_RUN}', 'x', 'g'), '(?i)\b\d{{1,2}}\s*(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|SEPT|OCT|NOV|DEC)[A-Z]*\s*\d{{2,4}}\b{_RUN}', 'x', 'g')"
+_TOKENS = rf"list_filter(regexp_extract_all({_NO_DATE}, '[(\-]?\d{{1,3}}(?:[.,\s]\d{{3}})*(?:[.,]\d{{2,3}})?[)\-]?'), lambda x: (x[1] = '(') = (x[-1] = ')') AND (regexp_matches(x, '[.,]\d{{2,3}}\b') OR coalesce(TRY_CAST(regexp_replace(x, '\D', '', 'g') AS BIGINT), 0) >= 10))"
+_STOP_SQL = " OR ".join(f"contains(norm, '{p}')" for p in X.COMPANY_STOPWORDS)
+_TAG_SQL = {t: "(" + " OR ".join(f"contains(norm, '{p}')" for p in ps) + ")" for t, ps in X.KEYWORDS.items()}
+_ANY_TAG = " OR ".join(_TAG_SQL.values())
+_MONEY_LINES = f"SELECT ocr_id, idx, line, norm, {_TOKENS} AS m FROM ({_LINES_CLEAN})"
+
+
 def _structured(s: SparkSession, d: str) -> DataFrame:
     return A.structure(_ocr(s, d), "text")
 
 
-@query("ocr_amounts")
+@query(
+    "ocr_amounts",
+    f"""SELECT ocr_id, CAST(row_number() OVER (PARTITION BY ocr_id ORDER BY v) - 1 AS INTEGER) AS pos, CAST(v AS VARCHAR) AS amount FROM (
+ SELECT DISTINCT ocr_id, CAST(round(CAST(CASE WHEN regexp_matches(x, '^[(\\-]|-$') THEN '-' ELSE '' END || regexp_replace(CASE WHEN regexp_matches(x, '^[^.,]*,[0-9]{{2,3}}[)\\-]?$') THEN replace(x, ',', '.') ELSE x END, '[^0-9.]', '', 'g') AS DECIMAL(18,3)), 2) AS DECIMAL(18,2)) AS v FROM (SELECT ocr_id, unnest(m[1:6]) AS x FROM ({_MONEY_LINES}))) QUALIFY row_number() OVER (PARTITION BY ocr_id ORDER BY v) <= 40""",
+)
 def ocr_amounts(s: SparkSession, d: str) -> DataFrame:
     return _structured(s, d).select("ocr_id", F.posexplode("all_amounts").alias("pos", "amount"))
 
 
-@query("ocr_line_classes")
+@query(
+    "ocr_line_classes",
+    f"""WITH t AS (SELECT ocr_id, idx, left(line, 120) AS line, norm FROM ({_MONEY_LINES}) WHERE len(m) > 0),
+ k AS (SELECT ocr_id, idx, line, 'total' AS kind FROM t WHERE {_ANY_TAG} UNION ALL SELECT ocr_id, idx, line, 'item' FROM t WHERE NOT ({_ANY_TAG}) AND NOT ({_STOP_SQL})
+ UNION ALL SELECT ocr_id, idx, line, 'payment' FROM t WHERE {_TAG_SQL['PAID']} OR {_TAG_SQL['CHANGE']}),
+ u AS (SELECT ocr_id, kind, line, min(idx) AS idx FROM k GROUP BY 1, 2, 3), r AS (SELECT ocr_id, kind, line, row_number() OVER (PARTITION BY ocr_id, kind ORDER BY idx) AS r FROM u)
+ SELECT ocr_id, kind, CAST(r - 1 AS INTEGER) AS pos, line FROM r WHERE r <= CASE kind WHEN 'item' THEN 30 ELSE 12 END""",
+)
 def ocr_line_classes(s: SparkSession, d: str) -> DataFrame:
     st = _structured(s, d)
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_candidates").alias("lines")) for k in ("total", "item", "payment")])
     return st.select("ocr_id", F.explode(kinds).alias("k")).select("ocr_id", F.col("k.kind").alias("kind"), F.posexplode("k.lines").alias("pos", "line"))
 
 
-@query("ocr_company_lines")
+@query(
+    "ocr_company_lines",
+    f"""WITH t AS (SELECT ocr_id, idx, line, len(m) > 0 OR {_DATE_SQL} AS stop FROM ({_MONEY_LINES}) WHERE idx < 8 AND NOT ({_STOP_SQL})),
+ f AS (SELECT ocr_id, min(CASE WHEN stop THEN idx END) AS until FROM t GROUP BY 1),
+ r AS (SELECT t.ocr_id, left(line, 80) AS line, row_number() OVER (PARTITION BY t.ocr_id ORDER BY idx) AS r FROM t JOIN f ON f.ocr_id = t.ocr_id WHERE until IS NULL OR idx < until)
+ SELECT ocr_id, CAST(r - 1 AS INTEGER) AS pos, line FROM r WHERE r <= 5""",
+)
 def ocr_company_lines(s: SparkSession, d: str) -> DataFrame:
     return _structured(s, d).select("ocr_id", F.posexplode("company_lines").alias("pos", "line"))
 
@@ -155,10 +182,7 @@ def _field_sql(tag: str, phrases: list[str]) -> str:
     return f"SELECT ocr_id, amt FROM (SELECT ocr_id, amt, row_number() OVER (PARTITION BY ocr_id ORDER BY {score} + CASE WHEN {tagged} THEN 50 ELSE 0 END DESC, idx DESC) AS r FROM a WHERE {fits}) WHERE r = 1"
 
 
-# The oracle's tokens: no look-ahead for percentages and no currencies, which change no amount that ends a tagged line here.
-_NO_DATE = r"regexp_replace(regexp_replace(regexp_replace(line, '\b\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}\b', 'x', 'g'), '\b\d{2,4}[/\-.]\d{1,2}[/\-.]\d{1,2}\b', 'x', 'g'), '(?i)\b\d{1,2}\s*(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|SEPT|OCT|NOV|DEC)[A-Z]*\s*\d{2,4}\b', 'x', 'g')"
-_TOKENS = rf"list_filter(regexp_extract_all({_NO_DATE}, '\d{{1,3}}(?:[.,\s]\d{{3}})*(?:[.,]\d{{2,3}})?'), lambda x: regexp_matches(x, '[.,]\d{{2,3}}$') OR coalesce(TRY_CAST(regexp_replace(x, '\D', '', 'g') AS BIGINT), 0) >= 10)"
-_AMOUNTS = rf"SELECT ocr_id, idx, norm, CAST(replace(list_extract({_TOKENS}, -1), ',', '') AS DOUBLE) AS amt FROM ({_LINES_CLEAN}) WHERE len({_TOKENS}) > 0"
+_AMOUNTS = rf"SELECT ocr_id, idx, norm, CAST(regexp_replace(list_extract({_TOKENS}, -1), '[^0-9.]', '', 'g') AS DOUBLE) AS amt FROM ({_LINES_CLEAN}) WHERE len({_TOKENS}) > 0"
 _FIELDS = ("subtotal", "tax", "total", "paid", "change")
 
 
@@ -513,8 +537,14 @@ def offline_verdicts(s: SparkSession, d: str) -> DataFrame:
     return a.verdicts(a.judge(receipts)).select("receipt_id", "label", "tally", "strategy_used", "verdict_uncertainty")
 
 
-@query("judge_sessions")
+@query(
+    "judge_sessions",
+    """SELECT judge_id, min(t) AS start_us, max(t) + 1800000000 AS end_us, count(*) AS n FROM (
+ SELECT judge_id, t, sum(CASE WHEN p IS NULL OR t - p > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY judge_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM (
+ SELECT judge_id, epoch_us(judged_at) AS t, lag(epoch_us(judged_at)) OVER (PARTITION BY judge_id ORDER BY judged_at) AS p FROM judge_results WHERE judge_id IS NOT NULL AND judged_at IS NOT NULL)) GROUP BY judge_id, s""",
+)
 def judge_sessions(s: SparkSession, d: str) -> DataFrame:
     from tillscope.streaming.votes import judge_sessions as sessions
 
-    return sessions(read(s, d, "judge_results").select("judge_id", "judged_at"))
+    w = sessions(read(s, d, "judge_results").select("judge_id", "judged_at"))
+    return w.select("judge_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
