@@ -198,20 +198,22 @@ def defects(results: DataFrame, prompts: DataFrame, containment: float = 0.6, al
     # The alignments are only asked for where they can matter; elsewhere the functions see nulls.
     maybe_copy = (F.col("inside") >= containment) & ~F.col("blank")
     parts = F.when(F.size("given") > 0, F.col("given")).otherwise(F.array("said"))
-    asked = [F.when(maybe_copy, parts), F.when(maybe_copy, F.col("prompt")), F.when(~F.col("verdict") & ~F.col("blank"), F.col("said"))]
-    j = j.withColumn("found", alignments(REFUSALS)(*asked))
-
     own = reduce(lambda acc, k: F.when(F.col("tongue") == k, _hits(F.col("w"), k)).otherwise(acc), WORDS, F.lit(0))
     sure = own >= F.greatest(F.lit(2), F.size("w") * 0.2)
     other = F.when(F.col("tongue").isNull() | sure, False).otherwise(language(F.col("said"), F.col("w"), F.col("tongue")) != F.col("tongue"))
-    early = (
-        F.when(F.col("blank"), "empty")
-        .when(maybe_copy & (F.col("found.aligned") >= containment), "copy")
-        .when(~F.col("verdict") & (F.col("found.refused") >= alignment), "refusal")
-        .when(F.col("torn") | F.col("marked"), "truncated")
-    )
-    # From here on only these few values of a row go on.
-    j = cut(j.select("result_id", early.alias("early"), F.when(early.isNull(), other).alias("other"), F.when(early.isNull(), F.col("open")).alias("open")))
+    # From here on a row has few values, and texts only where an alignment is asked for.
+    lite = j.select(
+        "result_id", "blank", F.when(~F.col("blank"), F.col("open")).alias("open"), (F.col("torn") | F.col("marked")).alias("torn"), other.alias("other"),
+        F.when(maybe_copy, parts).alias("a"), F.when(maybe_copy, F.col("prompt")).alias("b"), F.when(~F.col("verdict") & ~F.col("blank"), F.col("said")).alias("c"),
+    )
+    lite = cut(lite)
+    late = F.when(F.col("torn"), "truncated")
+    wanted = F.col("a").isNotNull() | F.col("c").isNotNull()
+    asked = lite.where(wanted).withColumn("found", alignments(REFUSALS)("a", "b", "c"))
+    copied, refused = F.col("a").isNotNull() & (F.col("found.aligned") >= containment), F.col("c").isNotNull() & (F.col("found.refused") >= alignment)
+    asked = cut(asked.select("result_id", F.when(copied, "copy").when(refused, "refusal").otherwise(late).alias("early"), "other", "open"))
+    plain = lite.where(~wanted).select("result_id", F.when(F.col("blank"), "empty").otherwise(late).alias("early"), "other", "open")
+    j = plain.unionByName(asked).withColumn("open", F.when(F.col("early").isNull(), F.col("open")))
     off = j.select(F.col("result_id").alias("_id"), F.explode("open").alias("form")).join(broken_forms(forms), "form").select("_id").distinct()
     j = j.join(off.withColumn("off", F.lit(True)), F.col("result_id") == F.col("_id"), "left")
     defect = F.coalesce("early", F.when(F.col("off"), "truncated"), F.when(F.col("other"), "language"))
