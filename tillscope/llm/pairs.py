@@ -113,10 +113,18 @@ def alignments(templates: list[str]):
     """
     split = [t.split() for t in templates]
 
+    bags = [(t, set(t)) for t in split]
+
     def refusal(s: str) -> float:
         words = re.findall(r"[\w']+", s)
-        # A template is a run of words: only windows a little longer than it are aligned.
-        return max((lcs(t, words[i : i + len(t) + 2]) / len(t) for t in split for i in range(max(1, len(words) - len(t) + 1))), default=0.0) if words else 0.0
+        have, best = set(words), 0.0
+        for t, bag in bags:
+            # A subsequence has no more of a template than the words they share.
+            if (len(bag & have) + len(t) - len(bag)) / len(t) > best:
+                # A template is a run of words: only windows a little longer than it, from one of its words on, are aligned.
+                starts = (i for i, w in enumerate(words) if w in bag)
+                best = max(best, max((lcs(t, words[i : i + len(t) + 2]) / len(t) for i in starts), default=0.0))
+        return best
 
     @F.pandas_udf("aligned double, refused double")
     def measure(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
