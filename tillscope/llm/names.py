@@ -18,7 +18,7 @@ Linked records form companies by connected components. Rows without an own word
 and null entries are no lines. Repeated rows are each listed; extra columns are ignored.
 
 Scale: everything before the last join works on distinct records; equal keys are linked to their smallest record, not
-to each other. The list of all pairs of rows is asked for by the query and grows with the square of a company's rows;
+to each other. Only the distinct readings of one address and word beginning are all compared with each other. The list of all pairs of rows is asked for by the query and grows with the square of a company's rows;
 ``companies`` gives one row per row of the input instead.
 """
 
@@ -220,15 +220,21 @@ def _same_place(rec: DataFrame) -> DataFrame:
     """Links of records with like addresses whose names can be the same."""
     p = rec.where((F.length("street") >= 4) & (F.col("numbers") != ""))
     p = p.select("id", "own", "initials", "trade", "street", "numbers").withColumn("stem", F.explode(F.array_distinct(F.transform("own", lambda w: F.substring(w, 1, 3)))))
-    # Address and beginning of a word are one key: a company of many receipts has few distinct records with it.
+    # Address and beginning of a word are one key; within it every two different readings are compared.
     p = p.withColumn("end", F.explode(F.array(F.substring("street", 1, 3), F.expr("right(street, 3)"))))
-    key = ["numbers", "stem", "end"]
-    low = p.groupBy(*key).agg(F.min("id").alias("b"), F.min_by(F.struct("street", "own"), "id").alias("head"))
-    near = _similar(F.col("street"), F.col("head.street")) >= 0.7
+    key, read = ["numbers", "stem", "end"], ["street", "own"]
+    low = cut(p.groupBy(*key, *read).agg(F.min("id").alias("id")))
+    x, y = (low.select(*key, *[F.col(c).alias(f"{c}_{s}") for c in ["id", *read]]) for s in "ab")
+    near = _similar(F.col("street_a"), F.col("street_b")) >= 0.7
     # Two whole names that differ are two companies in one place.
-    x, y, z = F.array_join("own", ""), F.array_join("head.own", ""), F.array_join(F.reverse("own"), "")
-    near = near & ((F.size("own") < 2) | (F.size("head.own") < 2) | (F.greatest(_similar(x, y), _similar(z, y)) >= 0.6))
-    return p.join(low, key).where(near & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b").distinct()
+    wa, wb = F.array_join("own_a", ""), F.array_join("own_b", "")
+    # Either side may be the reversed one: of a split word and its whole only one reversal keeps the letters in order.
+    like = F.greatest(_similar(wa, wb), _similar(F.array_join(F.reverse("own_a"), ""), wb), _similar(wa, F.array_join(F.reverse("own_b"), "")))
+    near = near & ((F.size("own_a") < 2) | (F.size("own_b") < 2) | (like >= 0.6))
+    met = x.join(y, key).where((F.col("id_a") < F.col("id_b")) & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    # Records of one reading are linked to their smallest.
+    same = p.join(low.withColumnRenamed("id", "b"), [*key, *read]).where("id <> b").select(F.col("id").alias("a"), "b")
+    return met.unionByName(same).distinct()
 
 
 def _short_forms(rec: DataFrame, linked: DataFrame) -> DataFrame:
