@@ -102,6 +102,31 @@ def test_records_of_a_place_do_not_depend_on_its_first(spark):
     assert [(r.ocr_id_a, r.ocr_id_b) for r in names.pairs(d.where("ocr_id < 4")).collect()] == [(2, 3)]
 
 
+def test_names_with_numbers_and_short_words(spark):
+    lines = [
+        ["Dakál0N 8. Mini Market Sdn Bhd", "Lorong Nunuve 99-18"],
+        ["MINI MARKET TRIN'S", "CO. NO (234740-U)", "JANUTRIS AVE 91 SUITE 34"],
+        ["TRAD FERRETERIA", "432071-V"],
+        ["JAMA8RIL 8"],
+        ["KOBE SOP", "JALAN PITRAJOS 74/5"],
+        ["JAALN PITRAJOS 74/5"],
+        ["OFFICIAL COPY", "234740-U"],
+        ["BAKERY"],
+    ]
+    d = spark.createDataFrame(list(enumerate(lines)), "ocr_id long, company_lines array<string>")
+    got = {r.ocr_id: (r.own, r.initials, r.trade, r.reg, r.numbers) for r in names.records(d).collect()}
+    assert got == {
+        0: (["DAKALON"], ["B"], "MINIMARKET", None, "99-18"),
+        1: (["TRIN"], [], "MINIMARKET", "234740U", "91-34"),
+        2: ([], [], "TRADING", "432071V", ""),
+        3: (["JAMABRIL"], ["B"], "", None, ""),
+        4: (["KOBE"], [], "SHOP", None, "74-5"),
+    }
+    rows = [["TRINOVEX DAKULAM MINI MARKET", "(234740-U)"], lines[1], ["TRADOVEX DAKUMIR FERRETERIA", "432071-V"], lines[2], lines[6]]
+    e = spark.createDataFrame(list(enumerate(rows)), "ocr_id long, company_lines array<string>")
+    assert {(r.ocr_id_a, r.ocr_id_b) for r in names.pairs(e).collect()} == {(0, 1), (2, 3)}
+
+
 def test_prefix_filter_loses_nothing(spark):
     rng = random.Random(3)
     words = ["".join(rng.choices("ABCDE", k=6)) for _ in range(40)]

@@ -14,7 +14,11 @@ and weighs them by rarity (trades and legal forms weigh nothing, single letters
 and initial agree and no second company fits as well. An equal registration number links by itself; an equal address
 only if the names can be the same.
 
-Linked records form companies by connected components. Rows without an own word are in no pair. Null and empty arrays
+A line with a free-standing number is an address, unless no other line holds an own word and it shows no street word:
+then it is the name, and the number an initial that the scanner misread, or part of the name.
+
+Linked records form companies by connected components. Rows without an own word are linked by their registration number
+if a trade stands beside it; otherwise they are in no pair. Null and empty arrays
 and null entries are no lines. Repeated rows are each listed; extra columns are ignored.
 
 Scale: everything before the last join works on distinct records; equal keys are linked to their smallest record, not
@@ -47,6 +51,7 @@ TRADES = {
 }
 #: Words of addresses that are no street names.
 STREET = "STREET|AVENUE|AVE|CALLE|LORONG|JALAN|LOT|LEVEL|SHOP|UNIT|SUITE|ROAD|NO"
+_ADDRESS = r"\b(?:STREET|AVENUE|AVE|CALLE|LORONG|JALAN|LOT|LEVEL|UNIT|SUITE|ROAD)\b|\b(?:SHOP|NO)\b[. ]*[0-9]"
 _ACCENTS = ("ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "AAAAAAEEEEIIIIOOOOOUUUUNC")
 #: Characters that scanners confuse in names.
 _FOLD = ("0158264F", "OISBZGAE")
@@ -70,35 +75,60 @@ def _trade(t: Column) -> Column:
         w, m = x["w"], F.length(x["w"])
         misspelt = (n >= 5) & (m >= 5) & (F.levenshtein(t, w) <= F.when(m >= 9, 2).otherwise(1))
         cut_short = (n >= 3) & F.startswith(w, t)
-        sparse = (n >= 3) & (F.substring(w, 1, 1) == F.substring(t, 1, 1)) & (vowels * 3 <= n) & (m > n) & F.rlike(w, spread)
+        # Short words hold the letters of many trades: they are one with no vowel after the first letter, or one letter short.
+        bare = (n >= 5) | ~F.rlike(t, F.lit("^.+[AEIOU]")) | (m == n + 1)
+        sparse = (n >= 3) & (F.substring(w, 1, 1) == F.substring(t, 1, 1)) & (vowels * 3 <= n) & (m > n) & bare & F.rlike(w, spread)
         return (t == w) | misspelt | cut_short | sparse
 
     hit = F.filter(words, fits)
     return F.when(F.size(hit) > 0, F.element_at(hit, 1)["c"])
 
 
+def _tokens(line: Column) -> Column:
+    """(w, c) of the words of a name: folded, with their trade."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, r"[./]", ""), r"\b(?:S A S)\b", "SAS"), r"\bG M B H\b", "GMBH")
+    plain = F.regexp_replace(plain, r"['’]S\b", " ")
+    plain = F.regexp_replace(plain, "(" + "|".join(sorted((t for t in TRADES if len(t) >= 6), key=len, reverse=True)) + ")", " $1 ")
+    words = F.filter(F.split(plain, "[^A-Z0-9]+"), lambda w: (w != "") & ~w.isin(LEGAL))
+    return F.transform(F.transform(words, lambda w: F.translate(w, *_FOLD)), lambda w: F.struct(w.alias("w"), F.when(F.length(w) >= 3, _trade(w)).alias("c")))
+
+
+def _own(tokens: str) -> Column:
+    return F.transform(F.filter(tokens, lambda x: (F.length(x["w"]) >= 2) & x["c"].isNull()), lambda x: x["w"])
+
+
+def _street_line(x: Column) -> Column:
+    """Whether a numbered line shows a street word, or a misspelt one and no trade or legal form."""
+    streets = [w for w in STREET.split("|") if len(w) >= 5]
+    marked = x.rlike(r"\b(?:" + "|".join(sorted({t for t in TRADES if t != "SHOP"} | {t for t in LEGAL if len(t) >= 3}, key=len, reverse=True)) + r")\b")
+    letters = lambda w: F.array_join(F.array_sort(F.split(w, "")), "")
+    near = lambda w: reduce(lambda p, q: p | q, [(F.levenshtein(w, F.lit(t)) <= 1) | (letters(w) == "".join(sorted(t))) for t in streets])
+    bent = F.exists(F.split(x, "[^A-Z0-9]+"), lambda w: (F.length(w) >= 4) & near(w))
+    return x.rlike(_ADDRESS) | (bent & ~marked)
+
+
 def records(rows: DataFrame, id_col: str = "ocr_id", lines_col: str = "company_lines") -> DataFrame:
-    """(id_col, own, initials, trade, reg, street, numbers) of every row that shows a name."""
+    """(id_col, own, initials, trade, reg, street, numbers) of every row that shows a name, or a trade and a registration number."""
     upper = F.transform(F.filter(lines_col, lambda x: x.isNotNull()), lambda x: F.translate(F.regexp_replace(F.upper(x), r"\p{M}", ""), *_ACCENTS))
     d = staged(rows.select(id_col, lines_col), _l=upper).drop(lines_col)
     reg = F.regexp_extract(F.array_join("_l", "\n"), _REG, 0)
-    names = F.filter("_l", lambda x: ~x.rlike(NOISE) & ~x.rlike(_REG) & ~x.rlike(_NUMBER) & x.rlike("[A-Z]"))
-    places = F.filter("_l", lambda x: ~x.rlike(_REG) & x.rlike(_NUMBER) & x.rlike("[A-Z]{3}"))
-    d = staged(d, reg=F.nullif(F.regexp_replace(reg, "[^0-9A-Z]", ""), F.lit("")), _n=F.array_join(names, " "), _a=F.element_at(F.concat(places, F.array(F.lit(""))), 1))
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("_n", r"[./]", ""), r"\b(?:S A S)\b", "SAS"), r"\bG M B H\b", "GMBH")
-    plain = F.regexp_replace(plain, r"['’]S\b", " ")
-    plain = F.regexp_replace(plain, "(" + "|".join(sorted((t for t in TRADES if len(t) >= 6), key=len, reverse=True)) + ")", " $1 ")
-    words = F.filter(F.split(plain, "[^A-Z0-9]+"), lambda w: (w != "") & ~w.isin(LEGAL))
-    d = staged(d, _w=F.transform(words, lambda w: F.translate(w, *_FOLD)))
-    d = staged(d, _t=F.transform("_w", lambda w: F.struct(w.alias("w"), F.when(F.length(w) >= 3, _trade(w)).alias("c"))))
-    own = F.transform(F.filter("_t", lambda x: (F.length(x["w"]) >= 2) & x["c"].isNull()), lambda x: x["w"])
+    name = lambda x: ~x.rlike(NOISE) & ~x.rlike(_REG) & x.rlike("[A-Z]")
+    numbered = lambda x: ~x.rlike(_REG) & x.rlike(_NUMBER) & x.rlike("[A-Z]{3}")
+    d = staged(d, reg=F.nullif(F.regexp_replace(reg, "[^0-9A-Z]", ""), F.lit("")), _n=F.filter("_l", lambda x: name(x) & ~x.rlike(_NUMBER)))
+    d = staged(d, _first=_tokens(F.array_join("_n", " ")))
+    # No own word in a line without a number: a numbered line that is no address is (part of) the name.
+    d = staged(d, _m=F.when(F.size(_own("_first")) == 0, F.filter("_l", lambda x: numbered(x) & ~x.rlike(NOISE) & ~_street_line(x))).otherwise(F.array().cast("array<string>")))
+    again = F.filter("_l", lambda x: F.array_contains("_m", x) | (name(x) & ~x.rlike(_NUMBER)))
+    d = staged(d, _t=F.when(F.size("_m") > 0, _tokens(F.array_join(again, " "))).otherwise(F.col("_first")))
+    d = staged(d, _a=F.element_at(F.concat(F.filter("_l", lambda x: numbered(x) & ~F.array_contains("_m", x)), F.array(F.lit(""))), 1))
+    own = _own("_t")
     single = F.transform(F.filter("_t", lambda x: F.length(x["w"]) == 1), lambda x: x["w"])
     trade = F.element_at(F.concat(F.transform(F.filter("_t", lambda x: x["c"].isNotNull()), lambda x: x["c"]), F.array(F.lit(""))), 1)
     places = F.filter(F.split("_a", "[^A-Z]+"), lambda w: (F.length(w) >= 3) & ~w.rlike(f"^(?:{STREET})$"))
     street = F.element_at(F.concat(F.reverse(F.array_sort(F.transform(places, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("w")))), 1)["w"]
     numbers = F.array_join(F.regexp_extract_all("_a", F.lit("([0-9]+)"), 1), "-")
     d = d.select(id_col, own.alias("own"), single.alias("initials"), trade.alias("trade"), "reg", street.alias("street"), numbers.alias("numbers"))
-    return d.where(F.size("own") > 0)
+    return d.where((F.size("own") > 0) | (F.col("reg").isNotNull() & (F.col("trade") != "")))
 
 
 def _grams(own: Column) -> Column:
@@ -173,7 +203,7 @@ def companies(rows: DataFrame, id_col: str = "ocr_id", lines_col: str = "company
     v = pairs.join(_side(names, "a"), F.col("a") == F.col("nid_a")).join(_side(names, "b"), F.col("b") == F.col("nid_b"))
     whole = lambda s: F.array_join(f"own_{s}", "")
     back = lambda s: F.array_join(F.reverse(f"own_{s}"), "")
-    direct = F.greatest(_similar(whole("a"), whole("b")), _similar(back("a"), whole("b")))
+    direct = F.greatest(_similar(whole("a"), whole("b")), _similar(back("a"), whole("b")), _similar(whole("a"), back("b")))
     long_ = (F.length(whole("a")) >= 9) & (F.length(whole("b")) >= 9)
     both = F.least(soft_similarity(F.col("own_a"), F.col("own_b"), F.col("wt_a")), soft_similarity(F.col("own_b"), F.col("own_a"), F.col("wt_b")))
     same_trade = (F.col("trade_a") == F.col("trade_b")) | (F.col("trade_a") == "") | (F.col("trade_b") == "")
@@ -240,7 +270,7 @@ def _same_place(rec: DataFrame) -> DataFrame:
 def _short_forms(rec: DataFrame, linked: DataFrame) -> DataFrame:
     """Attach records that show only the beginning of a word, where exactly one company fits."""
     r = rec.join(linked, rec["id"] == linked["node"])
-    w = F.element_at("own", 1)
+    w = F.get("own", 0)
     # Four letters, or four and a Y, alone or with an initial; so far linked to no longer name.
     longest = r.groupBy("component").agg(F.max(F.when(F.size("own") > 1, 1).otherwise(0)).alias("has_full"), *_marks())
     r = cut(r.select("id", "own", "initials", "trade", "component").join(longest, "component"))
