@@ -48,6 +48,34 @@ def test_features_and_errors(spark, receipt):
     assert "global_" not in features(d, "READING").columns
 
 
+def test_evidence_holds_copied_regions_and_header(spark, receipt):
+    import json
+
+    from tillscope.plans.pipeline import ReceiptAudit
+
+    rng = np.random.default_rng(0)
+    noisy = K.gaussian(rng.integers(0, 255, (256, 256)).astype(float), 1.0)
+    copied = noisy.copy()
+    copied[140:220, 150:230] = copied[20:100, 30:110]
+    rows = []
+    for name, g in (("copied", copied), ("plain", noisy), ("flat", np.full((256, 256), 99.0))):
+        rgb = np.repeat(np.clip(g, 0, 255).astype(np.uint8)[:, :, None], 3, axis=2)
+        rows.append((name, "TOTAL 5.00", (256, 256, 3, bytearray(rgb.tobytes())), bytearray(png_bytes(rgb))))
+    rows.append(("broken", "TOTAL 5.00", (256, 256, 3, bytearray(b"12")), None))
+    d = spark.createDataFrame(rows, "receipt_id string, text string, image struct<height:int,width:int,nChannels:int,data:binary>, content binary")
+    audit = ReceiptAudit(spark, None)
+    clusters = sorted((r.receipt_id, r["rank"], r.bin_x, r.bin_y, r.n, r.src_x, r.src_y) for r in copy_move(d, "receipt_id").collect())
+    for mode in ("GRAPHIC", "FULL"):
+        got = {r.receipt_id: json.loads(r.evidence) for r in audit.evidence(d, mode).collect()}
+        assert got["copied"]["copy_move"]["pairs_found"] >= 1 and got["copied"]["copy_move"]["pairs"][0]["n"] >= 18
+        assert clusters == sorted((k, i + 1, p["bin_x"], p["bin_y"], p["n"], *p["src"][:2]) for k, e in got.items() for i, p in enumerate(e["copy_move"].get("pairs") or []))
+        assert got["flat"]["copy_move"]["reason"] == "few_features"
+        assert "image" in got["broken"]["copy_move"]["errors"] and got["broken"]["header"]["error"] == "no content"
+        assert (got["flat"]["header"]["format"], got["flat"]["header"]["width"]) == ("PNG", 256)
+    bare = json.loads(audit.evidence(d.drop("content").where("receipt_id = 'flat'"), "GRAPHIC").first().evidence)
+    assert bare["header"]["error"] == "no content" and bare["copy_move"]["reason"] == "few_features"
+
+
 def test_artifacts(receipt):
     heat = np.zeros((128, 128))
     heat[10:20, 10:20] = 1

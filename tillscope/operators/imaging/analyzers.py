@@ -15,10 +15,34 @@ from pyspark.sql import functions as F
 
 from tillscope.operators.forensics import translation_clusters
 from tillscope.operators.imaging import kernels as K
+from tillscope.operators.imaging.headers import headers
 
 GLOBAL = "brightness_mean double, brightness_std double, sharpness double, blur_mean double, blur_std double, blur_min double, blur_max double, entropy double, edge_density double, text_ink double, skew_angle double, skew_confidence double"
 FORENSIC = "suspicious_ratio double, mela_peak double, used_qualities array<int>, rois array<struct<x:int,y:int,w:int,h:int,score:double>>, max_tile_z double, mean_abs_resid double, std_tile double"
 
+COPY_MOVE = "pairs_found int, reason string, good_matches int, pairs array<struct<bin_x:int,bin_y:int,n:int,src:array<int>,dst:array<int>>>"
+
+
+def _copy_move(rgb: np.ndarray, least: int = 18, top: int = 2, bin_size: float = 14, pad: int = 12) -> dict:
+    """Pairs of regions of equal translation (boxes are x, y, width, height), or the reason why there is none."""
+    points, desc = K.keypoints(K.gray(rgb))
+    if len(points) < 80:
+        return {"pairs_found": 0, "reason": "few_features", "pairs": []}
+    m = K.self_matches(points, desc)
+    if len(m) < 40:
+        return {"pairs_found": 0, "reason": "few_good_matches", "good_matches": len(m), "pairs": []}
+    bins, at, n = np.unique(np.floor((m[:, 2:] - m[:, :2]) / bin_size).astype(int), axis=0, return_inverse=True, return_counts=True)
+    at = at.reshape(-1)
+    size = np.array([rgb.shape[1], rgb.shape[0]])
+
+    def box(p: np.ndarray) -> list[int]:
+        lo, hi = np.maximum(p.min(axis=0) - pad, 0), np.minimum(p.max(axis=0) + pad, size - 1)
+        return [*lo.tolist(), *np.maximum(hi - lo, 1).tolist()]
+
+    order = sorted((k for k in range(len(n)) if n[k] >= least), key=lambda k: (-n[k], *bins[k]))[:top]
+    pairs = [{"bin_x": int(bins[k][0]), "bin_y": int(bins[k][1]), "n": int(n[k]), "src": box(m[at == k][:, :2]), "dst": box(m[at == k][:, 2:])} for k in order]
+    return {"pairs_found": len(pairs), "reason": None if pairs else "no_cluster", "good_matches": len(m), "pairs": pairs}
+
 
 def _parts(rgb: np.ndarray, which: str) -> tuple[dict, dict]:
     g = K.gray(rgb)
@@ -32,6 +56,7 @@ def _parts(rgb: np.ndarray, which: str) -> tuple[dict, dict]:
             "skew": lambda: K.skew(g),
         },
         "FORENSIC": {"mela": lambda: K.mela(rgb), "noise": lambda: K.noise_summary(g)},
+        "COPY_MOVE": {"copy_move": lambda: _copy_move(rgb)},
     }[which]
     out, errors = {}, {}
     for name, step in steps.items():
@@ -43,7 +68,7 @@ def _parts(rgb: np.ndarray, which: str) -> tuple[dict, dict]:
 
 
 def _analyzer(which: str, fields: str):
-    names = [f.strip().split(" ")[0] for f in fields.replace("array<struct<x:int,y:int,w:int,h:int,score:double>>", "a").split(",")]
+    names = [a for a, _ in _split(fields)]
 
     @F.pandas_udf(f"struct<{', '.join(f'{a}:{b}' for a, b in _split(fields))}, errors:map<string,string>>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -73,12 +98,17 @@ def _split(fields: str) -> list[tuple[str, str]]:
     return out
 
 
-def features(images: DataFrame, mode: str = "FULL", image: str = "image") -> DataFrame:
-    """Adds ``global_`` and ``forensic`` (GRAPHIC and FULL) structs; READING needs no image and adds none."""
+def features(images: DataFrame, mode: str = "FULL", image: str = "image", content: str = "content") -> DataFrame:
+    """Adds ``header``, ``global_``, ``forensic`` and ``copy_move`` (GRAPHIC and FULL) structs; READING needs no image.
+
+    The header is read from the file's bytes in ``content``; without that column it says so in its error.
+    """
     args = [F.col(f"{image}.{c}") for c in ("height", "width", "nChannels", "data")]
     out = images
     if mode in ("GRAPHIC", "FULL"):
         out = out.withColumn("global_", _analyzer("GLOBAL", GLOBAL)(*args)).withColumn("forensic", _analyzer("FORENSIC", FORENSIC)(*args))
+        out = out.withColumn("copy_move", _analyzer("COPY_MOVE", COPY_MOVE)(*args))
+        out = headers(out, content) if content in images.columns else headers(out.withColumn("_none", F.lit(None).cast("binary")), "_none").drop("_none")
     return out
 
 
@@ -103,5 +133,6 @@ def copy_move(images: DataFrame, id_col: str = "origin", image: str = "image", l
 
 def evidence(df: DataFrame, mode: str) -> Column:
     """The evidence document of a mode as a struct: only that mode's parts are computed."""
-    parts = {"GRAPHIC": ["global_", "forensic"], "READING": ["semantic_checks", "checks", "arithmetic_consistent"], "FULL": ["global_", "forensic", "semantic_checks", "checks", "arithmetic_consistent"]}[mode]
+    graphic = ["header", "global_", "forensic", "copy_move"]
+    parts = {"GRAPHIC": graphic, "READING": ["semantic_checks", "checks", "arithmetic_consistent"], "FULL": [*graphic, "semantic_checks", "checks", "arithmetic_consistent"]}[mode]
     return F.struct(F.lit(mode).alias("mode"), *[F.col(c) for c in parts if c in df.columns])

@@ -24,7 +24,7 @@ class ReceiptAudit:
         return sampling.shuffled(picked, seed + 1, "receipt_id")
 
     def evidence(self, receipts: DataFrame, mode: str = "FULL") -> DataFrame:
-        """receipts: receipt_id, text and, for GRAPHIC and FULL, image. A part that fails is an error in its struct."""
+        """receipts: receipt_id, text and, for GRAPHIC and FULL, image (and content, its file's bytes). A part that fails is an error in its struct."""
         d = receipts
         if mode != "GRAPHIC":
             d = judging.rule_flags(audit.audit(d, "text", self.cfg))
