@@ -257,6 +257,18 @@ def test_leaks(spark):
         contamination.leaks(d, items, max_items=3)
 
 
+def test_interruption_of_any_length():
+    a = ["".join(random.Random(k).choices("bdfhjkmnprtw", k=7)) for k in range(60)]
+    other = ["".join(random.Random(1000 + k).choices("bdfhjkmnprtw", k=7)) for k in range(400)]
+    h = lambda w: contamination.hashes(w, {})
+    item = h(a)
+    index = contamination.Index([1], [item], contamination.own_words([item]))
+    for text, held in ((a[:12] + other + a[48:], True), (a[48:] + other + a[:12], False), (a[:12] + other + a[54:], False)):
+        take, found = [], []
+        contamination._match(index, [(0, h(text))], take, found, 1 / 3, 0.18, 0.2)
+        assert (found == [1]) == held
+
+
 def test_search_recall_against_brute_force():
     """Of planted parts of a third and more, the signatures find nearly all that exact containment finds."""
     rng = random.Random(2)

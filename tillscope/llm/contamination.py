@@ -8,8 +8,8 @@ windows of twice that size, one starting every half size, by MinHash signatures
 (others cannot be common to both). From the share of equal signature values and both set sizes follows an estimate of
 how much of the item the window contains; windows above ``slack`` are candidates.
 
-Verification, exact: the region must contain ``containment`` of the item's own shingles. Common shingles are joined to
-near-diagonal runs, and runs to the best chain in order, with bounded interruptions. The item is held if the chain covers at least ``share`` of the item's
+Verification, exact: the document must contain ``containment`` of the item's own shingles. Common shingles are joined to
+near-diagonal runs, and runs to the best chain in order; only short runs have bounded interruptions. The item is held if the chain covers at least ``share`` of the item's
 own words. Words in runs of five that four or more items share are nobody's own; runs under six words do not count, so
 single short phrases do not.
 
@@ -156,21 +156,12 @@ class Index:
                     out[int(d[lo + w]), int(at[i])].append((max(0, start - size), start + 3 * size))
         return out
 
-    def coverage(self, item: int, text: np.ndarray, ranges: list[tuple[int, int]], containment: float = 0.2, **kw) -> float:
-        """The share of the item's own words that a region holds in order; 0 below the exact shingle containment."""
+    def coverage(self, item: int, text: np.ndarray, containment: float = 0.2, **kw) -> float:
+        """The share of the item's own words that the text holds in order; 0 below the exact shingle containment."""
         own = self.own[item]
-        n = int(own.sum())
-        merged: list[list[int]] = []
-        for a, b in sorted(ranges):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        best = 0
-        for a, b in merged:
-            if np.isin(self.sets[item], shingles(text[a:b])).mean() >= containment:
-                best = max(best, chain(self.items[item], text[a:b], own, **kw))
-        return best / n
+        if np.isin(self.sets[item], shingles(text)).mean() < containment:
+            return 0.0
+        return chain(self.items[item], text, own, **kw) / int(own.sum())
 
 
 def runs(a: np.ndarray, b: np.ndarray, gap: int = 4) -> list[tuple[int, int, int, int, int]]:
@@ -194,16 +185,20 @@ def runs(a: np.ndarray, b: np.ndarray, gap: int = 4) -> list[tuple[int, int, int
     return [(r[0], r[1] + K, r[2], r[3] + K, r[4]) for r in done + active]
 
 
-def chain(a: np.ndarray, b: np.ndarray, own: np.ndarray, least: int = 6, density: float = 0.3, interruption: int = 80, skipped: int = 60) -> int:
-    """Own words of ``a`` in the best chain of runs that is in order in both."""
+def chain(a: np.ndarray, b: np.ndarray, own: np.ndarray, least: int = 6, density: float = 0.3, interruption: int = 80, skipped: int = 60, sure: int = 8) -> int:
+    """Own words of ``a`` in the best chain of runs that is in order in both.
+
+    Runs of ``sure`` shingles are no chance, so whatever lies between two of them; a shorter run must be near.
+    """
     found = sorted(r for r in runs(a, b) if r[1] - r[0] >= least and r[4] >= density * (r[1] - r[0]))
     upto = np.r_[0, np.cumsum(own)].tolist()
     scores: list[int] = []
-    for j, (p0, p1, q0, _, _) in enumerate(found):
+    for j, (p0, p1, q0, _, m) in enumerate(found):
         best = 0
         for k in range(j):
-            s0, s1, _, t1, _ = found[k]
-            if s0 < p0 and s1 < p1 and t1 <= q0 + 2 * K and q0 - t1 <= interruption and p0 - s1 <= skipped:
+            s0, s1, _, t1, n = found[k]
+            near = (q0 - t1 <= interruption and p0 - s1 <= skipped) or min(m, n) >= sure
+            if s0 < p0 and s1 < p1 and t1 <= q0 + 2 * K and near:
                 best = max(best, scores[k] - max(0, upto[s1] - upto[p0]))
         scores.append(best + upto[p1] - upto[p0])
     return max(scores, default=0)
@@ -260,7 +255,7 @@ def leaks(
 
 
 def _match(index: Index, texts: list[tuple[int, np.ndarray]], take: list[int], found: list, share: float, slack: float, containment: float) -> None:
-    for (d, i), ranges in index.candidates([h for _, h in texts], slack).items():
-        if index.coverage(i, texts[d][1], ranges, containment) >= share:
+    for d, i in index.candidates([h for _, h in texts], slack):
+        if index.coverage(i, texts[d][1], containment) >= share:
             take.append(texts[d][0])
             found.append(index.ids[i])
