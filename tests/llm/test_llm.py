@@ -78,6 +78,27 @@ def test_flags(spark, data):
 # --- names ------------------------------------------------------------------------------------------------------------
 
 
+def test_repair_meets_every_word_within_its_tolerance(spark):
+    rng = random.Random(5)
+    known = ["".join(rng.choices("bdghjkmnprtw", k=k)) for k in (4, 5, 6, 8, 9, 10, 13, 20, 36)]
+    typed = set(known)
+    for v in known:
+        for n in (1, 2, 3):
+            for _ in range(6):
+                t = v
+                for _ in range(n):
+                    i, c = rng.randrange(len(t)), rng.choice("bdghjkmnprtw")
+                    t = rng.choice([t[:i] + t[i + 1 :], t[:i] + c + t[i:], t[:i] + c + t[i + 1 :]])
+                typed.add(t)
+    w = spark.createDataFrame([(t,) for t in sorted(typed)], "w string")
+    k = spark.createDataFrame([(v, False) for v in known], "v string, titled boolean")
+    fold = w.select("w", vocabulary._fold(F.col("w")).alias("fw")).crossJoin(k.select("v", vocabulary._fold(F.col("v")).alias("fv")))
+    near = fold.select("w", "v", vocabulary._near(F.col("fw"), F.col("fv")).alias("s")).where("s is not null").collect()
+    top = {r.w: max(x.s for x in near if x.w == r.w) for r in near}
+    got = {(r.w, r.v) for r in vocabulary.repair(w, k).collect()}
+    assert {(r.w, r.v) for r in near if r.s >= top[r.w] - 1e-9} == got and any(len(v) > 28 for _, v in got)
+
+
 def test_names(spark):
     groups = [
         [["KOBEFAL FAPOJUL AUTO PARTS SDN. BHD.", "JALAN PITRAJOS 74/5"], ["*** DUPLICATE ***", "Kobefal Fapojul Autoparts Sdn Bhd"], ["FAPOJUL KOBEFAL AUTO PTS"], ["KOBEFALFAPOJUL AUTO PARTS"], ["KOBE FAL FAPOJUL"], ["K0BEFAL FAP0JUL A/PARTS"], ["KOBEFAL", "FAPOJUL AUTO PARTS SDN BHD"], ["KOBEFAL F AUTO PARTS"]],

@@ -80,6 +80,27 @@ def _deletions(w: Column) -> Column:
     return F.array_distinct(F.concat(F.array(w), one, two))
 
 
+def _quarters(w: Column, shifts: bool) -> Column:
+    """Keys of words of nine letters and more: their four quarters, one of which three edits leave whole.
+
+    Of the other word (``shifts``) every piece of a length that a quarter of the first can have, within three places.
+    """
+    n = F.length(w)
+
+    def cut(m: Column) -> Column:
+        """The quarters of a word of length m, as the places and pieces that they have in w."""
+        at = lambda i: F.floor(m * i / 4).cast("int")
+        moves = F.sequence(F.lit(-3), F.lit(3)) if shifts else F.array(F.lit(0))
+        # Length, number and piece of the quarter, as it would be in a word of length m.
+        each = lambda i: F.transform(
+            F.filter(moves, lambda k: (at(i) + k >= 0) & (at(i + 1) + k <= n)), lambda k: F.concat_ws("|", m.cast("string"), F.lit(str(i)), F.substring(w, at(i) + k + 1, at(i + 1) - at(i)))
+        )
+        return F.concat(*[each(i) for i in range(4)])
+
+    lengths = F.sequence(F.greatest(n - 3, F.lit(4)), n + 3) if shifts else F.array(n)
+    return F.when(n >= (6 if shifts else 4), F.array_distinct(F.flatten(F.transform(lengths, cut)))).otherwise(F.array().cast("array<string>"))
+
+
 def _near(a: Column, b: Column) -> Column:
     """Similarity of two folded words, null beyond the tolerance."""
     n = F.greatest(F.length(a), F.length(b))
@@ -110,13 +131,16 @@ def repair(words: DataFrame, known: DataFrame) -> DataFrame:
 
     Only words that stand in a code or title are abbreviated.
     """
-    w = words.select("w", _fold(F.col("w")).alias("fw"))
-    k = known.select("v", "titled", _fold(F.col("v")).alias("fv"))
-    short = w.where(F.length("fw") <= 28)
-    by = short.select("w", "fw", F.explode(_deletions(F.col("fw"))).alias("x")).join(k.select("v", "fv", F.explode(_deletions(F.col("fv"))).alias("x")), "x")
-    near = by.select("w", "v", _near(F.col("fw"), F.col("fv")).alias("sim")).where("sim is not null")
+    w = cut(words.select("w", _fold(F.col("w")).alias("fw")))
+    k = cut(known.select("v", "titled", _fold(F.col("v")).alias("fv")))
+    # Words of up to eight letters meet by deletions, longer ones (up to three edits) by a quarter that is whole in both.
+    few = lambda c: _deletions(F.when(F.length(c) <= 10, F.col(c)).otherwise(F.lit("")))
+    by = w.select("w", "fw", F.explode(few("fw")).alias("x")).where("x <> ''").join(k.select("v", "fv", F.explode(few("fv")).alias("x")).where("x <> ''"), "x")
+    long_ = w.select("w", "fw", F.explode(_quarters(F.col("fw"), False)).alias("x")).join(k.select("v", "fv", F.explode(_quarters(F.col("fv"), True)).alias("x")), "x")
+    by = by.select("w", "v", "fw", "fv").unionByName(long_.where(F.greatest(F.length("fw"), F.length("fv")) >= 9).select("w", "v", "fw", "fv")).distinct()
+    near = cut(by).select("w", "v", _near(F.col("fw"), F.col("fv")).alias("sim")).where("sim is not null")
     # Abbreviations: beginnings, and words of the same first letter with letters left out.
-    cutoff = short.where(F.length("fw") >= 3)
+    cutoff = w.where(F.length("fw") >= 3)
     starts = k.where((F.length("fv") > 3) & F.col("titled")).select("v", "fv", F.explode(F.transform(F.sequence(F.lit(3), F.length("fv") - 1), lambda i: F.left("fv", i))).alias("fw"))
     begun = cutoff.join(starts, "fw").select("w", "v", (0.75 + 0.2 * F.length("fw") / F.length("fv")).alias("sim"))
     vowels = F.length("fw") - F.length(F.translate("fw", "aeiou", ""))
