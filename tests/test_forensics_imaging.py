@@ -94,6 +94,15 @@ def test_png_header(spark, receipt):
     assert [x.header.error for x in headers(d).collect()] == [None, "unknown format", "no content"]
 
 
+def test_alpha_behind_a_long_chunk(receipt):
+    b = png_bytes(receipt)
+    chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + bytes(4)
+    at = b.index(b"IDAT") - 4
+    text = chunk(b"tEXt", b"tRNS" + bytes(6000))
+    assert read_header(b[:at] + text + chunk(b"tRNS", bytes(6)) + b[at:])["has_alpha"]
+    assert not read_header(b[:at] + text + b[at:])["has_alpha"]
+
+
 def test_images_are_decoded(spark, receipt, tmp_path):
     from tillscope.sources.files import images
 

@@ -20,7 +20,7 @@ def read_header(data: bytes) -> dict:
         if data[:8] == b"\x89PNG\r\n\x1a\n":
             w, h, depth, kind = struct.unpack(">IIBB", data[16:26])
             mode = {0: "I;16" if depth == 16 else "1" if depth == 1 else "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}[kind]
-            out |= {"format": "PNG", "mode": mode, "width": w, "height": h, "has_alpha": kind in (4, 6) or b"tRNS" in data[:4096]}
+            out |= {"format": "PNG", "mode": mode, "width": w, "height": h, "has_alpha": kind in (4, 6) or "tRNS" in _chunks(data)}
             at = data.find(b"pHYs")
             if at > 0:
                 x, _, unit = struct.unpack(">IIB", data[at + 4 : at + 13])
@@ -52,6 +52,15 @@ def read_header(data: bytes) -> dict:
     return out
 
 
+def _chunks(png: bytes) -> list[str]:
+    """The kinds of the chunks before the pixels."""
+    out, at = [], 8
+    while at + 8 <= len(png) and png[at + 4 : at + 8] != b"IDAT":
+        out.append(png[at + 4 : at + 8].decode("latin-1"))
+        at += 12 + struct.unpack(">I", png[at : at + 4])[0]
+    return out
+
+
 def _orientation(tiff: bytes) -> int | None:
     end = "<" if tiff[:2] == b"II" else ">"
     at = struct.unpack(end + "I", tiff[4:8])[0]
