@@ -42,6 +42,16 @@ def test_consensus_finds_truth_and_worth(spark):
     assert worth["j5"].reliability[0] < 0 < min(worth[f"j{k}"].reliability[0] for k in range(5)) and worth["j5"].accuracy < 0.2
 
 
+def test_unfinished_loops_are_reported(spark):
+    from tillscope.operators.graph import components
+
+    edges = results(spark, judged()[1]).select("receipt_id", "judge_id", F.trim(F.upper("label")).alias("label"))
+    with pytest.raises(RuntimeError):
+        consensus.message_passing(edges, max_iter=1)
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), max_rounds=1)
+
+
 def test_consensus_without_broadcast_is_the_same(spark):
     _, rows = judged(40)
     e = consensus.votes(results(spark, rows), ("REAL", "FAKE", "UNCERTAIN"))

@@ -110,6 +110,8 @@ def message_passing(
         if not few:
             joined = joined.repartition("receipt_id")
         state = cut(spread(joined, y))
+    else:
+        raise RuntimeError(f"messages not converged after {max_iter} sweeps")
 
     # An annotator of whom nothing is known is trusted a little, so a lone vote stands.
     y = {k: (F.col(f"y{k}") / F.greatest(F.col("d"), F.lit(1)) + 1e-6) for k in n}

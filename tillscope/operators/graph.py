@@ -33,6 +33,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components not complete after {max_rounds} rounds")
     stars = e.select(F.col("b").alias("node"), F.col("a").alias("component"))
     roots = e.select(F.col("a").alias("node"), F.col("a").alias("component"))
     alone = loops.select(F.col("a").alias("node"), F.col("a").alias("component")).join(stars.select("node"), "node", "left_anti")
