@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tillscope.llm import consensus, contamination, names, pairs, sentences, tokenizer, vocabulary
+from tillscope.llm import consensus, names, pairs, sentences, tokenizer, vocabulary
 
 RESULTS = "result_id long, prompt_id long, attempt int, judge_id string, receipt_id string, label string, confidence double, reasons array<string>, flags array<string>, raw_response string, parse_error string, judged_at timestamp, n int, x string, y string"
 
@@ -262,64 +262,6 @@ def test_too_large_vocabulary(spark, tmp_path, monkeypatch):
         tokenizer.encode(spark.createDataFrame([(1, "a")], "doc_id long, text string"), str(tmp_path / "v"))
 
 
-# --- contamination ----------------------------------------------------------------------------------------------------
-
-
-def test_leaks(spark):
-    rng = random.Random(9)
-    vocab = ["".join(rng.choices("bcdfgklmnprstvwz", k=2)) + "aeiou"[i % 5] + "".join(rng.choices("bdgklmnprst", k=2)) for i in range(400)]
-    shared = "Read the notes on this receipt and choose one of the labels."
-    passages = [" ".join(rng.choices(vocab, k=60 + i)) for i in range(8)]
-    items = spark.createDataFrame([(i, f"{shared} {p}", "x") for i, p in enumerate(passages)] + [(90, None, "x"), (91, "", "x"), (92, "too short", "x"), (0, f"{shared} {passages[0]}", "x")], "item_id long, passage string, text string")
-    fill = lambda n: " ".join(rng.choices(vocab, k=n))
-    w = passages[3].split()
-    scan = passages[4].replace("o", "0").replace("e", "c")
-    docs = [
-        (0, f"{fill(200)} {passages[0]} {fill(300)}", {0}), (1, f"{fill(50)} {' '.join(passages[1].split()[20:50]).upper().replace(' ', ', ')}. {fill(80)}", {1}), (2, f"{fill(30)} {' '.join(passages[2].split()[:12])} {fill(90)}", set()),
-        (3, f"{fill(10)} {' '.join(w[:20])} {fill(25)} {' '.join(w[20:45])} {fill(9)}", {3}), (4, scan, {4}), (5, shared, set()), (6, fill(4000), set()), (7, None, set()), (8, "", set()), (9, f"{passages[5]} {passages[6]}", {5, 6}),
-        (10, " ".join(x for x in passages[7].split() if rng.random() > 0.1), {7}), (11, fill(60_000) + " " + passages[0], {0}),
-    ]
-    d = spark.createDataFrame([(i, t, "c") for i, t, _ in docs] + [(4, scan, "c")], "doc_id long, text string, item_id string")
-    want = sorted((i, k) for i, _, ks in docs for k in ks)
-    assert sorted((r.doc_id, r.item_id) for r in contamination.leaks(d, items).collect()) == want
-    assert sorted((r.doc_id, r.item_id) for r in contamination.leaks(d, items, block_items=3).collect()) == want
-    assert contamination.leaks(d.limit(0), items).count() == 0 and contamination.leaks(d, items.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        contamination.leaks(d, items, max_items=3)
-
-
-def test_interruption_of_any_length():
-    a = ["".join(random.Random(k).choices("bdfhjkmnprtw", k=7)) for k in range(60)]
-    other = ["".join(random.Random(1000 + k).choices("bdfhjkmnprtw", k=7)) for k in range(400)]
-    h = lambda w: contamination.hashes(w, {})
-    item = h(a)
-    index = contamination.Index([1], [item], contamination.own_words([item]))
-    for text, held in ((a[:12] + other + a[48:], True), (a[48:] + other + a[:12], False), (a[:12] + other + a[54:], False)):
-        take, found = [], []
-        contamination._match(index, [(0, h(text))], take, found, 1 / 3, 0.18, 0.2)
-        assert (found == [1]) == held
-
-
-def test_search_recall_against_brute_force():
-    """Of planted parts of a third and more, the signatures find nearly all that exact containment finds."""
-    rng = random.Random(2)
-    vocab = [f"w{i}x" for i in range(3000)]
-    items = [rng.choices(vocab, k=rng.randrange(40, 160)) for _ in range(60)]
-    known = {}
-    hs = [contamination.hashes(x, known) for x in items]
-    index = contamination.Index(list(range(60)), hs, contamination.own_words(hs))
-    docs, planted = [], set()
-    for k in range(120):
-        i = rng.randrange(60)
-        n = len(items[i])
-        a = rng.randrange(n - n // 3)
-        part = items[i][a : a + max(n // 3 + 2, rng.randrange(n))]
-        docs.append(contamination.hashes(rng.choices(vocab, k=rng.randrange(400)) + part + rng.choices(vocab, k=rng.randrange(400)), known))
-        planted.add((k, i))
-    found = set(index.candidates(docs, 0.18))
-    assert len(planted & found) >= 0.97 * len(planted)
-
-
 # --- sentences --------------------------------------------------------------------------------------------------------
 
 UNITS = [
