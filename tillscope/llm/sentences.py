@@ -35,7 +35,7 @@ TERMS = ".!?…;؟।॥。！？｡"
 _CLOSE = r"\"'”’»\)\]）」』】》〉›“"
 _OPEN = r"\"'“„«‘\(\[（「『¿¡‹—–-"
 #: What may begin a sentence: anything but a lower-case letter or a mark that goes on; stray symbols before it are skipped.
-_NEXT = rf"(?=[{W}]+(?:[\p{{So}}\p{{Sk}}\p{{Cf}}\p{{Cc}}≈√]|[{W}])*[{_OPEN}]*[{W}]?[{_OPEN}]*[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{N}}\p{{Sc}}#*])"
+_NEXT = rf"(?=[{W}][{W}\p{{So}}\p{{Sk}}\p{{Cf}}\p{{Cc}}≈√]*+[{_OPEN}]*[{W}]?[{_OPEN}]*[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{N}}\p{{Sc}}#*])"
 #: Abbreviations that do not end a sentence.
 NEVER = (
     "Mr|Mrs|Ms|Dr|Prof|St|Messrs|Hon|Gen|Col|Capt|Lt|Sgt|Sdn|Pte|Ref|Inv|Fig|fig|Figs|figs|approx|Approx|rev|Rev|ed|vol|Vol|"
@@ -46,6 +46,8 @@ NEVER = (
 )
 #: Abbreviations of "number" that do not end a sentence before a number or code.
 NUMBER = "no|No|nos|Nos|NO|nr|art|Art|item|sec|Sec|ch|Ch"
+#: Units of a block in the first step of their offsets.
+BLOCK = 128
 MONTHS_DE = "Januar|Jänner|Februar|März|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 
 
@@ -58,25 +60,36 @@ def _mask_quotes(p: Column) -> Column:
     inner = "".join(TERMS)
 
     def straight(x: Column) -> Column:
-        parts = F.split(x, '"')
+        def inside(n: Column):
+            def one(y: Column, i: Column) -> Column:
+                quoted = (i % 2 == 1) & (i < n - 1)
+                return F.when(quoted, F.translate(_sub(y, rf"[{inner}]$", LAST), inner, MASK * len(inner))).otherwise(y)
 
-        def inside(y: Column, i: Column) -> Column:
-            quoted = (i % 2 == 1) & (i < F.size(parts) - 1)
-            return F.when(quoted, F.translate(_sub(y, rf"[{inner}]$", LAST), inner, MASK * len(inner))).otherwise(y)
+            return one
 
-        return F.when(F.instr(x, '"') > 0, F.array_join(F.transform(parts, inside), '"')).otherwise(x)
+        # Bound once: else the text would be split again for every part.
+        whole = lambda parts: let(F.size(parts), lambda n: F.array_join(F.transform(parts, inside(n)), '"'))
+        return F.when(F.instr(x, '"') > 0, let(F.split(x, '"'), whole)).otherwise(x)
 
-    def paired(a: str, b: str):
-        return lambda x: F.when(F.instr(x, b) > 0, _sub(_sub(x, rf"[{inner}](?=[{W}]?{b})", LAST), rf"[{inner}](?=[^{a}{b}]*{b})", MASK)).otherwise(x)
+    def paired(opening: str, closing: str):
+        """Of each stretch up to a closing mark, what stands behind its last opening mark is inside. Every stretch is read once."""
 
-    def german(x: Column) -> Column:
-        return F.when(F.instr(x, "„") > 0, _sub(_sub(x, rf"[{inner}](?=[“”])", LAST), rf"[{inner}](?=[^„“”]*[“”])", MASK)).otherwise(x)
+        def masked(y: Column) -> Column:
+            tail = F.element_at(F.split(y, f"[{opening}]"), -1)
+            return F.concat(F.left(y, F.length(y) - F.length(tail)), F.translate(tail, inner, MASK * len(inner)))
+
+        def ended(x: Column) -> Column:
+            parts = F.split(_sub(x, rf"[{inner}](?=[{W}]?[{closing}])", LAST), f"(?<=[{closing}])")
+            each = lambda n: lambda y, i: F.when(i < n - 1, let(y, masked)).otherwise(y)
+            return let(parts, lambda ps: let(F.size(ps), lambda n: F.array_join(F.transform(ps, each(n)), "")))
+
+        return lambda x: F.when(x.rlike(f"[{closing}]"), let(x, ended)).otherwise(x)
 
     def curly(x: Column) -> Column:
         out = x
-        for f in (paired("“", "”"), paired("«", "»"), paired("「", "」"), paired("『", "』"), german):
+        for f in (paired("“", "”"), paired("«", "»"), paired("「", "」"), paired("『", "』")):
             out = let(out, f)
-        return out
+        return let(out, lambda y: F.when(F.instr(y, "„") > 0, paired("„", "“”")(y)).otherwise(y))
 
     # Most paragraphs have no quotation at all.
     p = let(p, straight)
@@ -124,6 +137,12 @@ def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = staged(d, _m=F.when(F.col("_lines"), F.col("_q")).otherwise(F.transform("_q", _mask_points)))
     marked = F.array_join(F.when(F.col("_lines"), F.col("_m")).otherwise(F.transform("_m", _separate)), UNIT)
     d = staged(d, _u=F.split(marked, UNIT))
+    # Offsets go from block to block and from unit to unit within a block, so no list of many units is copied for each of them.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_u") - 1) / BLOCK).cast("int")), lambda i: F.slice("_u", i * BLOCK + 1, BLOCK))
+    sizes = F.transform("_b", lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda acc, u: acc + F.length(u)))
+    longs = F.array().cast("array<bigint>")
+    starts = F.aggregate("_n", F.struct(F.lit(0).cast("bigint").alias("at"), longs.alias("all")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
+    d = staged(staged(d, _b=blocks).drop("_u"), _n=sizes)
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
 
     def step(acc: Column, u: Column) -> Column:
@@ -133,5 +152,6 @@ def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         one = F.array(F.struct((acc["at"] + lead).alias("s"), (acc["at"] + n - tail).alias("e")))
         return F.struct((acc["at"] + n).alias("at"), F.when(lead < n, F.concat(acc["units"], one)).otherwise(acc["units"]).alias("units"))
 
-    spans = F.aggregate("_u", F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("units")), step)["units"]
+    units = lambda x: F.aggregate(x["_b"], F.struct(x["_o"].alias("at"), none.alias("units")), step)["units"]
+    spans = F.flatten(F.transform(F.arrays_zip("_b", starts.alias("_o")), units))
     return d.select(id_col, F.explode(spans).alias("_s")).select(id_col, F.col("_s.s").alias("start_char"), F.col("_s.e").alias("end_char"))
