@@ -206,6 +206,17 @@ def test_pairs(spark):
     assert pairs.defects(results(spark, rows).limit(0), prompts).count() == 0
 
 
+def test_copies_among_other_words_and_stretched_refusals(spark):
+    """Most runs of the answer are the prompt's, most of its distinct words are not; and a template with words put in between."""
+    rng = random.Random(4)
+    prompt = " ".join(rng.choices("total tax line paid cash date shop item".split(), k=70)) + "."
+    other = " ".join(f"word{i}" for i in range(20)) + "."
+    stretched = "I am, for all that this says and shows, not really or in any way able to help."
+    rows = [FAILED | {"raw_response": f"{prompt} {other}", "prompt_id": 1}, FAILED | {"raw_response": stretched, "prompt_id": 1}, FAILED | {"raw_response": f"{other} {other} {other}", "prompt_id": 1}]
+    prompts = spark.createDataFrame([(1, prompt, "en")], "prompt_id long, prompt string, prompt_lang string")
+    assert {r.result_id: r.defect for r in pairs.defects(results(spark, rows), prompts).collect()} == {0: "copy", 1: "refusal"}
+
+
 def test_lcs():
     rng = random.Random(5)
 

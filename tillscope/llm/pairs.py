@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.session import cut, staged
+from tillscope.session import cut, let, staged
 
 #: Refusal templates, in words.
 REFUSALS = [
@@ -65,10 +65,11 @@ def _words(s: Column) -> Column:
     return F.filter(F.split(F.lower(s), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
-def _shingles(words: Column, k: int = 3) -> Column:
+def _shingles(words: Column) -> Column:
+    """A 64-bit value for every run of three words (of one or two, if there are no more)."""
     n = F.size(words)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.array_distinct(F.when(n > 0, grams).otherwise(F.array().cast("array<string>")))
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.array_distinct(F.when(n > 0, grams).otherwise(F.array().cast("array<bigint>")))
 
 
 def _hits(words: Column, lang: str) -> Column:
@@ -109,7 +110,7 @@ def alignments(templates: list[str]):
     """An Arrow function of (parts, prompt, said), any of them null where its measure is not asked for.
 
     aligned: the share of the parts' tokens that common subsequences of each part and the prompt cover.
-    refused: the best cover of a refusal template by a window of one of the sentences of what is said.
+    refused: the best cover of a refusal template by one of the sentences of what is said.
     """
     split = [t.split() for t in templates]
 
@@ -121,9 +122,8 @@ def alignments(templates: list[str]):
         for t, bag in bags:
             # A subsequence has no more of a template than the words they share.
             if (len(bag & have) + len(t) - len(bag)) / len(t) > best:
-                # A template is a run of words: only windows a little longer than it, from one of its words on, are aligned.
-                starts = (i for i, w in enumerate(words) if w in bag)
-                best = max(best, max((lcs(t, words[i : i + len(t) + 2]) / len(t) for i in starts), default=0.0))
+                # Other words may stand between those of the template, anywhere in the sentence.
+                best = max(best, lcs(t, words) / len(t))
         return best
 
     @F.pandas_udf("aligned double, refused double")
@@ -192,13 +192,11 @@ def defects(results: DataFrame, prompts: DataFrame, containment: float = 0.6, al
     said = F.when(F.size("given") > 0, F.array_join("given", " ")).otherwise(content)
     j = staged(j, said=F.coalesce(said, F.lit("")), marked=F.size(cut_off) > 0, open=F.transform(open_, form))
     j = staged(j, w=_words(F.col("said")), pw=_words(F.coalesce("prompt", F.lit(""))))
-    sh = _shingles(F.col("w"))
-    # Shingles are only made where two fifths of the distinct words are the prompt's.
-    known = 1 - F.size(F.array_except("w", "pw")) / F.greatest(F.size(F.array_distinct("w")), F.lit(1))
+    inside = let(_shingles(F.col("w")), lambda sh: F.size(F.array_intersect(sh, _shingles(F.col("pw")))) / F.greatest(F.size(sh), F.lit(1)))
     j = staged(
         j,
         blank=F.size(F.filter("w", lambda x: ~x.isin(_NOTHING))) == 0,
-        inside=F.when(known >= 0.4, F.size(F.array_intersect(sh, _shingles(F.col("pw")))) / F.greatest(F.size(sh), F.lit(1))).otherwise(0.0),
+        inside=inside,
         verdict=(F.size("given") > 0) & F.col("label").isin("REAL", "FAKE"),
         torn=_torn(F.col("raw"), F.col("body")),
         tongue=F.coalesce("prompt_lang", F.when(F.col("prompt").isNotNull(), language(F.col("prompt"), F.col("pw"), F.lit("en")))),
