@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.session import cut
+from tillscope.session import cut, release
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -18,8 +18,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null").distinct())
     loops = e.where("a = b")
-    e = e.where("a < b")
-    last = None
+    e, last = e.where("a < b"), None
     for _ in range(max_rounds):
         # Large star: every neighbour larger than a node goes to the node's smallest neighbour (or itself).
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -28,7 +27,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Small star: every smaller neighbour of a node, and the node, go to its smallest neighbour.
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(down, "b").select("m", F.explode(F.array("a", "b")).alias("x")).where("m <> x")
-        e = cut(small.select(F.col("m").alias("a"), F.col("x").alias("b")).distinct())
+        before, e = e, cut(small.select(F.col("m").alias("a"), F.col("x").alias("b")).distinct())
+        if last is not None:
+            release(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == last:
             break

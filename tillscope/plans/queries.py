@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from tillscope.operators import judging as J
 from tillscope.operators import sampling as R
 from tillscope.operators import voting as V
 from tillscope.schemas import FLAGS, SKILLS
-from tillscope.session import read
+from tillscope.session import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -495,9 +496,11 @@ def page_text(s: SparkSession, d: str) -> DataFrame:
 
 @query("p2_found")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary is kept in the shared folder, one for each folder of tables: a later run over it parses new entries only."""
     from tillscope.operators.timestamps import normalise
 
-    return normalise(read(spark, d, "ocr_structured"), read(spark, d, "scan_sites"))
+    kept = f"{shared_dir(spark)}/timestamps/{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+    return normalise(read(spark, d, "ocr_structured"), read(spark, d, "scan_sites"), path=kept)
 
 
 # --- images, whole run, sessions --------------------------------------------------------------------------------------

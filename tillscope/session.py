@@ -14,10 +14,9 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.shuffle.partitions": "8",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.driver.memory": "8g",
 }
 
 
@@ -30,7 +29,10 @@ def build_session(app: str = "tillscope", master: str = "local[*]", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests, one machine) a folder of our own."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset on one machine (tests) a folder of our own.
+
+    A cluster must name one: a folder of one machine is none of the others'.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
@@ -39,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if current is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tillscope-checkpoints"))
         current = sc.getCheckpointDir()
     return current
@@ -50,6 +54,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``df``, which must not be used any more. Spark deletes the rest when it is collected."""
+    sc = df.sparkSession.sparkContext
+    file = df._jdf.logicalPlan().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
