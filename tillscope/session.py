@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,13 +55,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(df: DataFrame) -> None:
-    """Delete what ``cut`` wrote for ``df``, which must not be used any more. Spark deletes the rest when it is collected."""
-    sc = df.sparkSession.sparkContext
-    file = df._jdf.logicalPlan().rdd().getCheckpointFile()
-    if file.isDefined():
-        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as a table in the shared folder, and the table's path.
+
+    Like ``cut``, but the size that the optimizer takes it for is that of the table. What ``cut`` gives keeps the estimate,
+    and a loop of joins multiplies estimates until they have millions of digits.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def release(done: DataFrame | str) -> None:
+    """Delete what ``cut`` or ``stored`` wrote, which must not be used any more. Spark deletes other checkpoints when they are collected."""
+    spark = SparkSession.active()
+    if not isinstance(done, str):
+        file = done._jdf.logicalPlan().rdd().getCheckpointFile()
+        if file.isEmpty():
+            return
+        done = file.get()
+    path = spark._jvm.org.apache.hadoop.fs.Path(done)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
