@@ -35,7 +35,8 @@ def judged(n_items=120, seed=1):
 
 def test_consensus_finds_truth_and_worth(spark):
     truth, rows = judged()
-    items, judges = consensus.consensus(results(spark, rows))
+    items, judges, sweeps, moved = consensus.consensus(results(spark, rows))
+    assert sweeps > 1 and moved < 1e-3
     got = {r.receipt_id: r.label for r in items.collect()}
     assert sum(got[k] == v for k, v in truth.items()) >= 0.97 * len(truth)
     worth = {r.judge_id: r for r in judges.collect()}

@@ -1,33 +1,48 @@
 """Consensus from several annotators' labels by message passing on the item-annotator graph.
 
-Every class is taken against the rest: a label edge (item i, annotator j) carries +1 if j chose the class and -1
-otherwise. Item-to-annotator messages x and annotator-to-item messages y are exchanged until they stand still::
+Every class is taken against the rest. On each edge (item i, annotator j) with the mark v = 1 if j chose the class, else
+0, two messages go to and fro until they stand still::
 
-    x[i->j] = sum over the item's other annotators k of A[i,k] * y[k->i]
-    y[j->i] = mean over the annotator's other items k of A[k,j] * x[k->j]
+    p[i->j] = sigmoid(prior + sum over the item's other annotators k of y[k->i])
+    y[j->i] = log(hit / alarm) if v else log((1 - hit) / (1 - alarm))
 
-An annotator who inverts labels ends with negative messages, one who always gives the same label or guesses with
-messages near zero. The labels so found give each annotator's confusion matrix, and the final label is the most
-likely one under those matrices.
+where hit and alarm are how often j chose the class on other items that had it, and that had it not, counted with their
+messages p (and a little in the annotator's favour where nothing is known). So an annotator's worth is two numbers: one
+who inverts labels speaks against what they choose, one who always gives the same label or guesses says nothing. The
+consensus is the class with the greatest sum of messages; nothing but the messages decides.
 
-Scale: the edges (one row per item and annotator) are hashed on the item once; the sums over an item are window sums
-in that layout. The sums over an annotator are partial aggregates of a few rows per task, so an annotator with a
-third of all edges costs nothing extra; they come back by broadcast if their number is below
-``max_broadcast_annotators`` and by a join on (annotator, salt) otherwise. Each iteration is cut by a checkpoint.
+The messages stand still when no p moves by ``tol`` or more in a sweep; from half of ``max_iter`` on, sweeps are averaged
+with the former ones, which ends swings between two states. Messages that still move after ``max_iter`` are an error.
+
+Scale: the edges (one row per item and annotator) are hashed on the item once; the sums over an item are window sums in
+that layout, of at most as many rows as there are annotators. The sums over an annotator are partial aggregates of a few
+rows per task, so one with a third of all edges costs nothing extra; they come back by broadcast if there are at most
+``max_broadcast_annotators``, and by a join on (annotator, salt) otherwise, where the sums over an item are aggregates
+joined back, too. Each sweep is cut by a checkpoint of the edges with their three messages, and the former one deleted.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.session import cut
+from tillscope.session import cut, release, staged, stored
 
 SALTS = 64
 
 
+class Consensus(NamedTuple):
+    """What ``message_passing`` gives: two tables, the number of sweeps, and the greatest move of a message in the last."""
+
+    items: DataFrame
+    annotators: DataFrame
+    sweeps: int
+    moved: float
+
+
 def votes(results: DataFrame, classes: tuple[str, ...]) -> DataFrame:
     """(receipt_id, judge_id, label): one vote per item and annotator, the last usable answer.
 
@@ -61,97 +76,105 @@ def _back(edges: DataFrame, totals: DataFrame, few: bool) -> DataFrame:
 def message_passing(
     edges: DataFrame,
     classes: tuple[str, ...] = ("REAL", "FAKE", "UNCERTAIN"),
-    max_iter: int = 30,
+    max_iter: int = 200,
     tol: float = 1e-3,
+    favour: float = 1.0,
     max_broadcast_annotators: int = 100_000,
-) -> tuple[DataFrame, DataFrame]:
-    """(items, annotators) from (receipt_id, judge_id, label), which must be unique per pair.
+) -> Consensus:
+    """Consensus of (receipt_id, judge_id, label), which must be unique per pair.
 
     items: receipt_id, label, scores (per class), n_votes, agreement (share of votes equal to the consensus).
-    annotators: judge_id, n_votes, reliability (of each class), accuracy (share of votes equal to the consensus).
-    Ties in the score go to the class named first. An empty input gives two empty tables.
+    annotators: judge_id, n_votes, reliability (hit less alarm of each class, -1 to 1), accuracy (share of votes equal to
+    the consensus). Ties in the score go to the class named first. An empty input gives two empty tables.
     """
     n = range(len(classes))
     item = Window.partitionBy("receipt_id")
-    sign = [F.when(F.col("label") == c, 1.0).otherwise(-1.0) for c in classes]
-
-    def spread(df: DataFrame, y: list[Column]) -> DataFrame:
-        """One sweep: x at every edge from y at every edge."""
-        own = df.withColumns({f"p{k}": sign[k] * y[k] for k in n})
-        tot = own.withColumns({f"t{k}": F.sum(f"p{k}").over(item) for k in n})
-        return tot.select("receipt_id", "judge_id", "label", *[(F.col(f"t{k}") - F.col(f"p{k}")).alias(f"x{k}") for k in n])
-
+    chosen = [F.when(F.col("label") == c, 1.0).otherwise(0.0) for c in classes]
     edges = cut(edges.select("receipt_id", "judge_id", "label").repartition("receipt_id"))
     few = edges.select("judge_id").distinct().limit(max_broadcast_annotators + 1).count() <= max_broadcast_annotators
-    state = cut(spread(edges, [F.lit(1.0)] * len(classes)))
-    last: list[float] | None = None
-    for _ in range(max_iter):
-        totals = state.groupBy("judge_id").agg(
-            F.count("*").alias("d"),
-            *[F.sum(sign[k] * F.col(f"x{k}")).alias(f"y{k}") for k in n],
-            *[F.sum(F.col(f"x{k}") * F.col(f"x{k}")).alias(f"q{k}") for k in n],
-        )
-        totals = cut(totals)
-        # The messages are scaled by their root mean square; only these few sums come to the driver.
-        s = totals.agg(
-            F.sum("d").alias("d"),
-            *[F.sum(f"q{k}").alias(f"q{k}") for k in n],
-            *[F.sum(F.abs(F.col(f"y{k}"))).alias(f"y{k}") for k in n],
-        ).first()
-        if not s["d"]:
-            break
-        scale = [max((s[f"q{k}"] / s["d"]) ** 0.5, 1e-12) for k in n]
-        now = [s[f"y{k}"] / s["d"] / scale[k] for k in n]
-        if last is not None and max(abs(a - b) for a, b in zip(now, last, strict=True)) < tol:
+
+    def over_items(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
+        """``df`` with sums over the rows of its item."""
+        if few:
+            return df.withColumns({k: F.sum(v).over(item) for k, v in sums.items()})
+        return df.join(df.groupBy("receipt_id").agg(*[F.sum(v).alias(k) for k, v in sums.items()]), "receipt_id")
+
+    def log_odds(x: Column) -> Column:
+        x = F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6))
+        return F.log(x / (1 - x))
+
+    def worth(hits: Column, of: Column, more: float) -> Column:
+        """A rate from counts; what is not known is favourable (two thirds of hits, one third of alarms)."""
+        return (hits + (1 + more) * favour) / (of + 3 * favour)
+
+    def spoken(df: DataFrame, own: bool) -> list[Column]:
+        """y at every edge with its annotator's totals: without the edge's own part, which messages p hold, if ``own``."""
+        out = []
+        for k in n:
+            p = F.col(f"p{k}") if own else F.lit(0.0)
+            rest = (1 - p) if own else F.lit(0.0)
+            hit = worth(F.col(f"a{k}") - p * chosen[k], F.col(f"A{k}_") - p, 1.0)
+            alarm = worth(F.col(f"b{k}") - rest * chosen[k], F.col("d") - F.col(f"A{k}_") - rest, 0.0)
+            out.append(F.when(chosen[k] == 1, F.log(hit / alarm)).otherwise(F.log((1 - hit) / (1 - alarm))))
+        return out
+
+    # At first an item's other votes speak for themselves, with the share of the class among all as one more vote.
+    shares = edges.agg(*[F.avg(chosen[k]).alias(f"s{k}") for k in n]).first()
+    share = [shares[f"s{k}"] or 0.0 for k in n]
+    first = over_items(edges, {"m": F.lit(1), **{f"t{k}": chosen[k] for k in n}})
+    state = first.select("receipt_id", "judge_id", "label", *[((F.col(f"t{k}") - chosen[k] + share[k]) / F.col("m")).alias(f"p{k}") for k in n])
+
+    def totals_of(state: DataFrame) -> tuple[DataFrame, str | None, dict[str, float]]:
+        """The annotators' totals, what is to be released of them, and the sums and the greatest move over all of them."""
+        sums = [c for k in n for c in (F.sum(F.col(f"p{k}") * chosen[k]).alias(f"a{k}"), F.sum(f"p{k}").alias(f"A{k}_"), F.sum((1 - F.col(f"p{k}")) * chosen[k]).alias(f"b{k}"))]
+        out, path = state.groupBy("judge_id").agg(F.count("*").cast("double").alias("d"), F.max("change").alias("change"), *sums), None
+        # Both ways the optimizer knows how small they are; estimates that go round in the loop would grow without end.
+        if few:
+            out = out.sparkSession.createDataFrame(out.collect(), out.schema)
+        else:
+            out, path = stored(out)
+        s = out.agg(F.sum("d").alias("d"), F.max("change").alias("change"), *[F.sum(f"A{k}_").alias(f"A{k}") for k in n]).first()
+        # The prior goes with the rows: as a number in the plan it would have the code of every sweep compiled anew.
+        prior = [log_odds(F.lit((s[f"A{k}"] or 0.0) / (s["d"] or 1.0))) for k in n]
+        return out.drop("change").withColumns({f"o{k}": prior[k] for k in n}), path, s.asDict()
+
+    state = cut(state.withColumn("change", F.lit(1.0)))
+    sweeps = 0
+    while True:
+        totals, path, s = totals_of(state)
+        if not s["d"] or s["change"] < tol:
             break
-        last = now
-        y = [(F.col(f"y{k}") - sign[k] * F.col(f"x{k}")) / F.greatest(F.col("d") - 1, F.lit(1)) / scale[k] for k in n]
+        if sweeps == max_iter:
+            raise RuntimeError(f"messages not converged after {max_iter} sweeps: the last moved by {s['change']}")
         joined = _back(state, totals, few)
-        if not few:
-            joined = joined.repartition("receipt_id")
-        state = cut(spread(joined, y))
-    else:
-        raise RuntimeError(f"messages not converged after {max_iter} sweeps")
-
-    # An annotator of whom nothing is known is trusted a little, so a lone vote stands.
-    y = {k: (F.col(f"y{k}") / F.greatest(F.col("d"), F.lit(1)) + 1e-6) for k in n}
-    totals = cut(state.groupBy("judge_id").agg(F.count("*").alias("d"), *[F.sum(sign[k] * F.col(f"x{k}")).alias(f"y{k}") for k in n]))
-    scored = _back(state.select("receipt_id", "judge_id", "label"), totals, few)
-    first = scored.groupBy("receipt_id").agg(*[F.sum(sign[k] * y[k]).alias(f"s{k}") for k in n])
-    first = cut(first.select("receipt_id", _argmax([F.col(f"s{k}") for k in n], classes).alias("guess")))
-
-    # Annotators' confusion matrices under those labels, then the most likely label under the matrices.
-    joined = edges.join(first, "receipt_id")
-    counts = joined.groupBy("judge_id").agg(
-        *[F.count_if((F.col("guess") == g) & (F.col("label") == c)).alias(f"c_{a}_{b}") for a, g in enumerate(classes) for b, c in enumerate(classes)]
-    )
-    prior = first.groupBy("guess").count().collect()  # one row per class
-    total = sum(r["count"] for r in prior) or 1
-    share = {r["guess"]: (r["count"] + 1.0) / (total + len(classes)) for r in prior}
-    logs = {}
-    for a in n:
-        row = reduce(lambda p, q: p + q, [F.col(f"c_{a}_{b}") for b in n])
-        for b in n:
-            logs[f"l_{a}_{b}"] = F.log((F.col(f"c_{a}_{b}") + 0.5) / (row + 0.5 * len(classes)))
-    matrices = cut(counts.select("judge_id", *[v.alias(k) for k, v in logs.items()]))
-    pick = [reduce(lambda acc, b: F.when(F.col("label") == classes[b], F.col(f"l_{a}_{b}")).otherwise(acc), n, F.lit(0.0)) for a in n]
-    final = _back(edges, matrices, few).groupBy("receipt_id").agg(
-        F.count("*").alias("n_votes"), *[F.sum(pick[a]).alias(f"s{a}") for a in n], *[F.count_if(F.col("label") == c).alias(f"v{a}") for a, c in enumerate(classes)]
+        y = joined.select("receipt_id", "judge_id", "label", *[f"p{k}" for k in n], *[f"o{k}" for k in n], *[c.alias(f"y{k}") for k, c in enumerate(spoken(joined, True))])
+        y = over_items(y if few else y.repartition("receipt_id"), {f"t{k}": F.col(f"y{k}") for k in n})
+        p = [1 / (1 + F.exp(-(F.col(f"o{k}") + F.col(f"t{k}") - F.col(f"y{k}")))) for k in n]
+        if 2 * sweeps >= max_iter:
+            p = [(p[k] + F.col(f"p{k}")) / 2 for k in n]
+        moves = staged(y, **{f"q{k}": p[k] for k in n})
+        change = F.greatest(*[F.abs(F.col(f"q{k}") - F.col(f"p{k}")) for k in n])
+        before, state = state, cut(moves.select("receipt_id", "judge_id", "label", *[F.col(f"q{k}").alias(f"p{k}") for k in n], change.alias("change")))
+        sweeps += 1
+        release(before)
+        if path:
+            release(path)
+
+    # The item's score is what all its annotators say, each of them judged by other items.
+    scored = _back(state, totals, few)
+    scored = scored.select("receipt_id", "label", *[f"o{k}" for k in n], *[c.alias(f"y{k}") for k, c in enumerate(spoken(scored, True))])
+    sums = scored.groupBy("receipt_id").agg(
+        F.count("*").alias("n_votes"), *[(F.first(f"o{k}") + F.sum(f"y{k}")).alias(f"s{k}") for k in n], *[F.count_if(F.col("label") == c).alias(f"v{k}") for k, c in enumerate(classes)]
     )
-    score = [F.col(f"s{a}") + float(_ln(share.get(classes[a], 1.0 / (total + len(classes))))) for a in n]
-    best = _argmax(score, classes)
-    same = reduce(lambda acc, a: F.when(F.col("label") == classes[a], F.col(f"v{a}")).otherwise(acc), n, F.lit(0))
-    items = cut(final.withColumn("label", best).select("receipt_id", "label", F.array(*score).alias("scores"), "n_votes", (same / F.col("n_votes")).alias("agreement")))
+    score = [F.col(f"s{k}") for k in n]
+    same = reduce(lambda acc, k: F.when(F.col("label") == classes[k], F.col(f"v{k}")).otherwise(acc), n, F.lit(0))
+    items = sums.withColumn("label", _argmax(score, classes))
+    items = cut(items.select("receipt_id", "label", F.array(*score).alias("scores"), "n_votes", (same / F.col("n_votes")).alias("agreement")))
     hits = edges.withColumnRenamed("label", "vote").join(items.select("receipt_id", "label"), "receipt_id")
     accuracy = hits.groupBy("judge_id").agg(F.avg((F.col("vote") == F.col("label")).cast("double")).alias("accuracy"))
-    annotators = totals.select("judge_id", F.col("d").alias("n_votes"), F.array(*[y[k] for k in n]).alias("reliability")).join(accuracy, "judge_id", "left")
-    return items, annotators
-
-
-def _ln(x: float) -> float:
-    import math
-
-    return math.log(x)
+    reliability = [worth(F.col(f"a{k}"), F.col(f"A{k}_"), 1.0) - worth(F.col(f"b{k}"), F.col("d") - F.col(f"A{k}_"), 0.0) for k in n]
+    annotators = totals.select("judge_id", F.col("d").cast("long").alias("n_votes"), F.array(*reliability).alias("reliability")).join(accuracy, "judge_id", "left")
+    return Consensus(items, annotators, sweeps, s["change"] or 0.0)
 
 
 def _argmax(scores: list[Column], classes: tuple[str, ...]) -> Column:
@@ -159,9 +182,9 @@ def _argmax(scores: list[Column], classes: tuple[str, ...]) -> Column:
     return reduce(lambda acc, k: F.when(scores[k] == top, F.lit(classes[k])).otherwise(acc), reversed(range(len(classes))), F.lit(None).cast("string"))
 
 
-def consensus(results: DataFrame, classes: tuple[str, ...] = ("REAL", "FAKE", "UNCERTAIN"), **kw) -> tuple[DataFrame, DataFrame]:
-    """(items, annotators) for judge results; an item without any usable answer is UNCERTAIN with 0 votes and null agreement."""
-    items, annotators = message_passing(votes(results, classes), classes, **kw)
+def consensus(results: DataFrame, classes: tuple[str, ...] = ("REAL", "FAKE", "UNCERTAIN"), **kw) -> Consensus:
+    """``message_passing`` for judge results; an item without any usable answer is UNCERTAIN with 0 votes and null agreement."""
+    found = message_passing(votes(results, classes), classes, **kw)
     every = results.where(F.col("receipt_id").isNotNull()).select("receipt_id").distinct()
-    items = every.join(items, "receipt_id", "left")
-    return items.withColumns({"label": F.coalesce("label", F.lit("UNCERTAIN")), "n_votes": F.coalesce("n_votes", F.lit(0))}), annotators
+    items = every.join(found.items, "receipt_id", "left")
+    return found._replace(items=items.withColumns({"label": F.coalesce("label", F.lit("UNCERTAIN")), "n_votes": F.coalesce("n_votes", F.lit(0))}))

@@ -12,14 +12,19 @@ from tillscope.session import read
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from tillscope.llm.consensus import consensus
 
-    items, _ = consensus(read(spark, d, "judge_results"))
-    return items.select("receipt_id", "label")
+    return consensus(read(spark, d, "judge_results")).items.select("receipt_id", "label")
 
 
 def p1_annotators(spark: SparkSession, d: str) -> DataFrame:
     from tillscope.llm.consensus import consensus
 
-    return consensus(read(spark, d, "judge_results"))[1]
+    return consensus(read(spark, d, "judge_results")).annotators
+
+
+def p1_items(spark: SparkSession, d: str) -> DataFrame:
+    from tillscope.llm.consensus import consensus
+
+    return consensus(read(spark, d, "judge_results")).items.select("receipt_id", "label", "n_votes", "agreement")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,5 +63,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(read(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_annotators": p1_annotators, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_items": p1_items, "p1_annotators": p1_annotators, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
