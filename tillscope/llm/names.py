@@ -181,8 +181,12 @@ def soft_similarity(a: Column, b: Column, wa: Column) -> Column:
     return found / F.greatest(total, F.lit(1e-9))
 
 
-def companies(rows: DataFrame, id_col: str = "ocr_id", lines_col: str = "company_lines", threshold: float = 0.12, similarity: float = 0.75, use_registration: bool = True) -> DataFrame:
-    """(id_col, company): one row for every row that shows a name; the company is its smallest record."""
+def companies(rows: DataFrame, id_col: str = "ocr_id", lines_col: str = "company_lines", threshold: float = 0.12, similarity: float = 0.75, use_registration: bool = True, use_places: bool = True, with_links: bool = False) -> DataFrame:
+    """(id_col, company): one row for every row that shows a name; the company is its smallest record.
+
+    ``with_links`` adds links: how many other records its record is directly linked with. Without ``use_registration`` and
+    ``use_places`` names alone link: no registration number, no address, and no short form that needs them.
+    """
     keys = ["own", "initials", "trade", "reg", "street", "numbers"]
     r = cut(records(rows, id_col, lines_col))
     flat = [F.array_join("own", " ").alias("k_own"), F.array_join("initials", " ").alias("k_in"), "trade", F.coalesce("reg", F.lit("")).alias("k_reg"), "street", "numbers"]
@@ -227,11 +231,20 @@ def companies(rows: DataFrame, id_col: str = "ocr_id", lines_col: str = "company
     if use_registration:
         regs = rec.where("reg is not null")
         edges.append(regs.join(regs.groupBy("reg").agg(F.min("id").alias("b")), "reg").select(F.col("id").alias("a"), "b"))
-    edges.append(_same_place(rec))
+    if use_places:
+        edges.append(_same_place(rec))
     edges.append(rec.select(F.col("id").alias("a"), F.col("id").alias("b")))
-    linked = cut(components(reduce(DataFrame.unionByName, edges)))
-    linked = _short_forms(rec, linked)
-    return member.join(linked.select(F.col("node").alias("id"), "component"), "id").select(id_col, F.col("component").alias("company"))
+    links = reduce(DataFrame.unionByName, edges)
+    if with_links:
+        links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    linked = cut(components(links))
+    if use_places:
+        linked = _short_forms(rec, linked)
+    out = member.join(linked.select(F.col("node").alias("id"), "component"), "id").select("id", id_col, F.col("component").alias("company"))
+    if with_links:
+        ends = links.where("a <> b").select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+        out = out.join(ends, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    return out.drop("id")
 
 
 def _marks() -> list[Column]:

@@ -39,6 +39,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs(read(spark, d, "ocr_structured"))
 
 
+def p4_companies(spark: SparkSession, d: str) -> DataFrame:
+    """One row for every row that shows a name, with its company and its number of links."""
+    from tillscope.llm.names import companies
+
+    return companies(read(spark, d, "ocr_structured"), with_links=True)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from tillscope.llm.pairs import defects
 
@@ -63,5 +70,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(read(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_items": p1_items, "p1_annotators": p1_annotators, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_items": p1_items, "p1_annotators": p1_annotators, "p3_found": p3_found, "p4_found": p4_found, "p4_companies": p4_companies, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
