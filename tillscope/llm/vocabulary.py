@@ -23,7 +23,9 @@ adaptive execution splits that key. The vocabulary is broadcast only if it has a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.session import cut, staged
@@ -101,6 +103,17 @@ def _quarters(w: Column, shifts: bool) -> Column:
     return F.when(n >= (6 if shifts else 4), F.array_distinct(F.flatten(F.transform(lengths, cut)))).otherwise(F.array().cast("array<string>"))
 
 
+def _skeleton(c: str) -> Column:
+    """The first letter and the consonants after it."""
+    return F.concat(F.left(c, F.lit(1)), F.translate(F.substring(F.col(c), 2, 1_000_000), "aeiou", ""))
+
+
+def _openings(c: str) -> Column:
+    """How the skeleton of a word with letters left out may open: the first letter, alone or with any one consonant of the rest."""
+    rest = F.translate(F.substring(F.col(c), 2, 1_000_000), "aeiou", "")
+    return F.concat(F.array(F.left(c, F.lit(1))), F.transform(F.array_distinct(F.filter(F.split(rest, ""), lambda x: x != "")), lambda x: F.concat(F.left(c, F.lit(1)), x)))
+
+
 def _near(a: Column, b: Column) -> Column:
     """Similarity of two folded words, null beyond the tolerance."""
     n = F.greatest(F.length(a), F.length(b))
@@ -139,15 +152,15 @@ def repair(words: DataFrame, known: DataFrame) -> DataFrame:
     long_ = w.select("w", "fw", F.explode(_quarters(F.col("fw"), False)).alias("x")).join(k.select("v", "fv", F.explode(_quarters(F.col("fv"), True)).alias("x")), "x")
     by = by.select("w", "v", "fw", "fv").unionByName(long_.where(F.greatest(F.length("fw"), F.length("fv")) >= 9).select("w", "v", "fw", "fv")).distinct()
     near = cut(by).select("w", "v", _near(F.col("fw"), F.col("fv")).alias("sim")).where("sim is not null")
-    # Abbreviations: beginnings, and words of the same first letter with letters left out.
+    # Abbreviations: beginnings, and words with letters left out, which meet by first letter and next consonant.
     cutoff = w.where(F.length("fw") >= 3)
     starts = k.where((F.length("fv") > 3) & F.col("titled")).select("v", "fv", F.explode(F.transform(F.sequence(F.lit(3), F.length("fv") - 1), lambda i: F.left("fv", i))).alias("fw"))
     begun = cutoff.join(starts, "fw").select("w", "v", (0.75 + 0.2 * F.length("fw") / F.length("fv")).alias("sim"))
     vowels = F.length("fw") - F.length(F.translate("fw", "aeiou", ""))
-    sparse = cutoff.where(vowels * 3 <= F.length("fw")).withColumn("i", F.left("fw", F.lit(1)))
-    full = k.where("titled").withColumn("i", F.left("fv", F.lit(1)))
+    sparse = cutoff.where(vowels * 3 <= F.length("fw")).withColumn("i", F.left(_skeleton("fw"), F.lit(2)))
+    full = k.where("titled").withColumn("i", F.explode(_openings("fv")))
     spread = F.concat(F.lit("^"), F.regexp_replace("fw", "(.)", "$1.*"))
-    sparse = sparse.join(full, "i").where((F.length("fv") > F.length("fw")) & (F.length("fv") <= F.length("fw") * 3) & F.rlike(F.col("fv"), spread))
+    sparse = sparse.join(full, "i").where((F.length("fv") > F.length("fw")) & (F.length("fv") <= F.length("fw") * 3)).where(F.rlike(F.col("fv"), spread))
     sparse = sparse.select("w", "v", (0.7 + 0.2 * F.length("fw") / F.length("fv")).alias("sim"))
     every = near.unionByName(begun).unionByName(sparse).groupBy("w", "v").agg(F.max("sim").alias("sim"))
     top = every.groupBy("w").agg(F.max("sim").alias("top"))
@@ -163,7 +176,7 @@ def match(values: DataFrame, catalogue: DataFrame, score: float = 0.5, judged: f
     vocab = vocab.withColumn("f", _fold(F.col("v"))).withColumn("titled", F.col("weight") > 0.9)
     idf = vocab.groupBy("f", "entry").agg(F.max(F.when(F.col("titled"), 1.0).otherwise(0.5)).alias("d")).groupBy("f").agg(F.log(n / F.greatest(F.sum("d"), F.lit(1.0))).alias("idf"))
     vocab = cut(vocab.join(idf, "f").withColumn("idf", F.greatest("idf", F.lit(0.1))))
-    most = float(__import__("math").log(n))
+    most = math.log(n)
     if vocab.count() <= max_broadcast_words:
         vocab = F.broadcast(vocab)
     d = cut(staged(values.select("raw"), plain=_plain(F.col("raw"))).withColumn("ws", _words(F.col("plain"))))
@@ -173,7 +186,9 @@ def match(values: DataFrame, catalogue: DataFrame, score: float = 0.5, judged: f
     affirm = entries.sparkSession.createDataFrame([(a,) for a in AFFIRMING], "v string")
     known = vocab.groupBy("v").agg(F.max("titled").alias("titled")).unionByName(affirm.withColumn("titled", F.lit(False)))
     known = known.groupBy("v").agg(F.max("titled").alias("titled"))
-    fixed = cut(repair(each.select("w").distinct(), known))
+    # A value in one word looks for codes in one word, too, in case its spaces stand in the wrong places.
+    whole = d.where(F.size("ws") > 1).select("raw", F.regexp_replace("plain", " ", "").alias("w"))
+    fixed = cut(repair(each.select("w").unionByName(whole.select("w")).distinct(), known))
     yes = fixed.groupBy("w").agg(F.min(F.col("v").isin(AFFIRMING)).alias("affirms"))
     # What each distinct word gives to each entry, and the most it could give.
     gives = fixed.join(vocab, "v").groupBy("w", "entry").agg(F.max(F.col("sim") * F.col("idf") * F.col("weight")).alias("g"), F.max("in_code").alias("in_code"), F.max("idf").alias("idf"))
@@ -182,7 +197,14 @@ def match(values: DataFrame, catalogue: DataFrame, score: float = 0.5, judged: f
     total = each.join(worth, "w", "left").join(yes, "w", "left").groupBy("raw").agg(F.sum(F.coalesce("worth", F.lit(other))).alias("total"), F.max(F.coalesce("affirms", F.lit(False))).alias("affirms"))
     size = F.size(_words(_plain(F.col("flag_code"))))
     codes = entries.select(F.col("flag_code").alias("entry"), size.alias("k"))
-    points = each.join(gives, "w").groupBy("raw", "entry").agg(F.sum("g").alias("points"), F.sum(F.greatest(F.col("idf") - other, F.lit(0.0))).alias("extra"), F.count_if("in_code").alias("hit"))
+    # An entry that has none of a value's weightier words cannot reach the lowest score with the others: only the weightier
+    # ones look for entries, so a word that very many entries have does not bring them all to every value that has it.
+    most_of = gives.groupBy("w").agg(F.max(F.greatest("g", F.lit(0.0))).alias("gmax"))
+    weighed = each.join(most_of, "w").join(total.select("raw", "total"), "raw")
+    lighter = F.sum("gmax").over(Window.partitionBy("raw").orderBy("gmax", "w"))
+    leads = weighed.withColumn("lighter", lighter).where(F.col("lighter") >= min(score, judged) * F.col("total") - 1e-9)
+    met = leads.select("raw", "w").unionByName(whole).join(gives.select("w", "entry"), "w").select("raw", "entry").distinct()
+    points = met.join(each, "raw").join(gives, ["w", "entry"]).groupBy("raw", "entry").agg(F.sum("g").alias("points"), F.sum(F.greatest(F.col("idf") - other, F.lit(0.0))).alias("extra"), F.count_if("in_code").alias("hit"))
     points = points.join(F.broadcast(codes) if n <= max_broadcast_words else codes, "entry").join(total, "raw")
     points = points.withColumns({"score": F.col("points") / (F.col("total") + F.col("extra")), "whole": F.least(F.col("hit") / F.col("k"), F.lit(1.0))})
     # A value that spells a whole code badly is compared with it as a whole, too.
