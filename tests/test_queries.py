@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-CORE = ["receipt_total_check", "ocr_line_keywords", "ocr_fields", "judge_parse", "vote_majority", "verdict_uncertainty", "eval_summary", "per_judge_accuracy", "uncertainty_matrix", "stratified_sample", "knn_ratio_matches", "translation_clusters", "median_mad"]
+CORE = sorted(entry.oracle_sql())
 
 
 def shown(v):

@@ -86,7 +86,7 @@ def _best(tag: str, phrases: list[str]) -> Column:
     return F.array_max(scored)["amount"]
 
 
-def _tolerance(diff: Column, ref: Column, cfg: ParseConfig) -> tuple[Column, Column]:
+def tolerance(diff: Column, ref: Column, cfg: ParseConfig) -> tuple[Column, Column]:
     """(passes, percent): within the larger of the tolerances; a small reference allows only the absolute one."""
     ad = F.abs(diff)
     big = ref >= F.lit(cfg.min_ref_for_pct).cast(DEC)
@@ -97,7 +97,7 @@ def _tolerance(diff: Column, ref: Column, cfg: ParseConfig) -> tuple[Column, Col
 
 
 def _check(when: Column, name: str, lhs: Column, rhs: Column, diff: Column, cfg: ParseConfig) -> Column:
-    passes, percent = _tolerance(diff, rhs, cfg) if name != "paid_minus_change_vs_total" else _tolerance(diff, rhs, cfg)
+    passes, percent = tolerance(diff, rhs, cfg)
     return F.when(when, F.struct(F.lit(name).alias("name"), X.money_text(lhs).alias("lhs"), X.money_text(rhs).alias("rhs"), F.round(diff, 2).cast("decimal(18,2)").alias("diff"), percent.alias("diff_pct"), passes.alias("passes")))
 
 
@@ -154,7 +154,7 @@ def semantic(d: DataFrame, cfg: ParseConfig = ParseConfig()) -> DataFrame:
     strict = shape(
         F.lit("subtotal+tax≈total_strict"),
         F.when(have, F.abs(lhs - total) <= limit),
-        F.when(have, said).otherwise(F.lit("missing subtotal/tax/total from OCR (strict check)")),
+        F.when(have, said).otherwise(F.lit("strict check: subtotal, tax or total was not read")),
         evidence,
         text({"subtotal": X.money_text(sub), "tax": X.money_text(tax), "lhs": F.when(have, X.money_text(lhs)), "total": X.money_text(total)}),
     )

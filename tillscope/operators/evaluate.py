@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.operators.forensics import quantiles
+
 
 def with_truth(verdicts: DataFrame, truth: DataFrame) -> DataFrame:
     """Adds gt: the given label of the receipt, else the embedded ground_truth; rows without either are dropped.
@@ -72,5 +74,29 @@ def uncertainty_matrix(votes: DataFrame, judges: list[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, by: str, value: str) -> DataFrame:
-    p = lambda q: F.percentile(value, F.lit(q))
-    return df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), p(0.25).alias("q1"), p(0.5).alias("q2"), p(0.75).alias("q3"), F.max(value).alias("high"))
+    """Count, mean, deviation, least, quartiles and greatest of each group; the quartiles are exact for groups of any size."""
+    g = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
+    q = quantiles(df, by, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).withColumnRenamed(by, "_g")
+    return g.join(q, F.col(by).eqNullSafe(F.col("_g")), "left").drop("_g")
+
+
+def label_counts(entries: DataFrame) -> DataFrame:
+    """Rows of each split and label; what is missing counts as none."""
+    known = lambda c: F.coalesce(c, F.lit("none"))
+    return entries.groupBy(known(F.col("split")).alias("split"), known(F.upper(F.trim("label"))).alias("label")).agg(F.count("*").alias("n"))
+
+
+def confusion(judged: DataFrame) -> DataFrame:
+    """Receipts of each predicted and true label."""
+    return judged.groupBy(F.col("label").alias("predicted"), "gt").agg(F.count("*").alias("n"))
+
+
+def by_correctness(judged: DataFrame, value: str) -> DataFrame:
+    """Receipts and the mean of a value, of right and wrong verdicts."""
+    return judged.groupBy((F.col("label") == F.col("gt")).alias("correct")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
+def mean_seconds(df: DataFrame, start: str, end: str, by: str = "receipt_id") -> DataFrame:
+    """One row: the mean over receipts of the seconds between the earliest start and the latest end; receipts without both are left out."""
+    g = df.groupBy(by).agg(F.min(start).alias("a"), F.max(end).alias("b")).where(F.col(by).isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull())
+    return g.agg(F.count("*").alias("n"), F.avg((F.unix_micros("b") - F.unix_micros("a")) / 1e6).alias("seconds"))

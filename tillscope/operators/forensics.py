@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillscope.session import cut
+
 
 def zscores(tiles: DataFrame, by: str, value: str) -> DataFrame:
     """Adds z = (value - mean) / (population deviation + 1e-6) over each group.
@@ -21,21 +23,49 @@ def tile_summary(tiles: DataFrame, by: str, value: str) -> DataFrame:
     return m.select(by, ((F.col("hi") - F.col("mean_abs_resid")) / (F.col("std_tile") + 1e-6)).alias("max_tile_z"), "mean_abs_resid", "std_tile")
 
 
+def quantiles(df: DataFrame, by: str, value: str, ps: dict[str, float]) -> DataFrame:
+    """(by, one column per name): exact percentiles by linear interpolation of the values that are neither null nor NaN.
+
+    A group of any size is spread over tasks: its distinct values with their counts are partitioned by range, ranked in
+    each partition, and ranks go on from the counts of the partitions before. Nothing holds the values of a group. Groups
+    without any value have no row; a null group is a group.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = F.col(value).cast("double")
+    counts = df.select(F.col(by).alias("_by"), x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x")).groupBy("_by", "_x").agg(F.count("*").alias("_c"))
+    ranged = cut(counts.repartitionByRange(n, "_by", "_x").withColumn("_part", F.spark_partition_id()))
+    # One row for each group and partition that it reaches into: as many as groups and partitions together.
+    each = ranged.groupBy("_by", "_part").agg(F.sum("_c").alias("_s"))
+    before = Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select(F.col("_by").alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.sum("_s").over(Window.partitionBy("_by")).alias("_n"))
+    inside = Window.partitionBy("_by", "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ranged.withColumn("_upto", F.sum("_c").over(inside)).join(each, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    ranked = ranked.withColumn("_to", F.col("_before") + F.col("_upto")).withColumn("_from", F.col("_to") - F.col("_c"))
+    at = {k: (F.col("_n") - 1) * p for k, p in ps.items()}
+    value_at = lambda i: F.max(F.when((F.col("_from") <= i) & (i < F.col("_to")), F.col("_x")))
+    g = ranked.groupBy("_by").agg(F.first("_n").alias("_n"), *[c for k, i in at.items() for c in (value_at(F.floor(i)).alias(f"_lo_{k}"), value_at(F.ceil(i)).alias(f"_hi_{k}"))])
+    return g.select(F.col("_by").alias(by), *[(F.col(f"_lo_{k}") + (i - F.floor(i)) * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}"))).alias(k) for k, i in at.items()])
+
+
+def _beside(df: DataFrame, found: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """Join a group's row to its rows; null groups meet, too."""
+    return df.join(found.withColumnRenamed(by, "_g"), F.col(by).eqNullSafe(F.col("_g")), how).drop("_g")
+
+
 def percentiles(df: DataFrame, by: str, value: str, ps: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    x = F.when(~F.isnan(value), F.col(value))
-    return df.groupBy(by).agg(*[F.percentile(x, F.lit(p)).alias(f"p{round(p * 100)}") for p in ps])
+    return quantiles(df, by, value, {f"p{round(p * 100)}": p for p in ps})
 
 
 def above_percentile(df: DataFrame, by: str, value: str, p: float = 0.993) -> DataFrame:
     """Rows at or above the group's percentile."""
-    t = df.groupBy(by).agg(F.percentile(value, F.lit(p)).alias("_t"))
-    return df.join(t, by).where(F.col(value) >= F.col("_t")).drop("_t")
+    return _beside(df, quantiles(df, by, value, {"_t": p}), by).where(F.col(value) >= F.col("_t")).drop("_t")
 
 
 def median_mad(df: DataFrame, by: str, value: str) -> DataFrame:
     """Median and median absolute deviation, in two passes."""
-    m = df.groupBy(by).agg(F.median(value).alias("median"))
-    return df.join(m, by).groupBy(by).agg(F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    m = cut(quantiles(df, by, value, {"median": 0.5}))
+    off = _beside(df.select(by, value), m, by).select(by, F.abs(F.col(value) - F.col("median")).alias("_d"))
+    return _beside(m, quantiles(off, by, "_d", {"mad": 0.5}), by)
 
 
 def entropy(df: DataFrame, by: str, symbol: Column) -> DataFrame:

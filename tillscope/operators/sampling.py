@@ -35,3 +35,9 @@ def sample_document(sample: DataFrame, seed: int, split: str) -> DataFrame:
         F.lit(seed).alias("random_seed"), F.lit(split).alias("split"), F.count("*").alias("total"), F.count_if(F.col("label") == "REAL").alias("real_count"),
         F.count_if(F.col("label") == "FAKE").alias("fake_count"), F.array_sort(F.collect_list(entry)).alias("receipts"),
     )
+
+
+def last_entries(entries: DataFrame, id_col: str = "id", order_col: str = "row_pos") -> DataFrame:
+    """The last row of every id; rows without an id are none."""
+    rest = [c for c in entries.columns if c != id_col]
+    return entries.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max_by(F.struct(*rest), order_col).alias("_e")).select(id_col, "_e.*")

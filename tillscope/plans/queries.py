@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from tillscope.operators import forensics as N
 from tillscope.operators import judging as J
 from tillscope.operators import sampling as R
 from tillscope.operators import voting as V
-from tillscope.schemas import FLAGS, SKILLS
+from tillscope.sources import files, sinks
+from tillscope.schemas import FLAGS, MODES, SKILLS, ParseConfig
 from tillscope.session import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,8 +62,8 @@ FROM orders o JOIN ({_ITEMS}) i ON o.o_orderkey = i.receipt_id"""
 def receipt_total_check(s: SparkSession, d: str) -> DataFrame:
     total, expected = F.col("o_totalprice").cast("decimal(18,2)"), F.round("due", 2).cast("decimal(18,2)")
     j = read(s, d, "orders").select(F.col("o_orderkey").alias("receipt_id"), "o_totalprice").join(_items(s, d), "receipt_id")
-    limit = F.greatest(F.lit("0.10").cast("decimal(20,4)"), (total * F.lit("0.1").cast("decimal(2,1)")).cast("decimal(20,4)"))
-    return j.select("receipt_id", expected.cast("double").alias("expected"), total.cast("double").alias("total"), (total - expected).cast("double").alias("diff"), (F.abs(total - expected) <= limit).alias("passes"))
+    passes, _ = A.tolerance((total - expected).cast(A.DEC), total.cast(A.DEC), ParseConfig())
+    return j.select("receipt_id", expected.cast("double").alias("expected"), total.cast("double").alias("total"), (total - expected).cast("double").alias("diff"), passes.alias("passes"))
 
 
 @query("receipt_check_by_priority", f"SELECT o_orderpriority AS priority, count(*) AS n, sum(CASE WHEN passes THEN 1 ELSE 0 END) AS n_pass FROM ({_CHECK}) c JOIN orders o ON o.o_orderkey = c.receipt_id GROUP BY 1")
@@ -183,20 +185,52 @@ def _field_sql(tag: str, phrases: list[str]) -> str:
     return f"SELECT ocr_id, amt FROM (SELECT ocr_id, amt, row_number() OVER (PARTITION BY ocr_id ORDER BY {score} + CASE WHEN {tagged} THEN 50 ELSE 0 END DESC, idx DESC) AS r FROM a WHERE {fits}) WHERE r = 1"
 
 
-_AMOUNTS = rf"SELECT ocr_id, idx, norm, CAST(regexp_replace(list_extract({_TOKENS}, -1), '[^0-9.]', '', 'g') AS DOUBLE) AS amt FROM ({_LINES_CLEAN}) WHERE len({_TOKENS}) > 0"
-_FIELDS = ("subtotal", "tax", "total", "paid", "change")
+def _value_sql(x: str) -> str:
+    return rf"CAST(CASE WHEN regexp_matches({x}, '^[(\-]|-$') THEN '-' ELSE '' END || regexp_replace(CASE WHEN regexp_matches({x}, '^[^.,]*,[0-9]{{2,3}}[)\-]?$') THEN replace({x}, ',', '.') ELSE {x} END, '[^0-9.]', '', 'g') AS DECIMAL(18,3))"
 
 
-@query("ocr_fields", f"WITH a AS ({_AMOUNTS}) SELECT o.ocr_id, " + ", ".join(f"{f}.amt AS {f}" for f in _FIELDS) + " FROM ocr_structured o " + " ".join(f"LEFT JOIN ({_field_sql(*A.FIELDS[f])}) {f} ON {f}.ocr_id = o.ocr_id" for f in _FIELDS))
+_AMOUNTS = f"SELECT ocr_id, idx, line, norm, {_value_sql('list_extract(m[1:6], -1)')} AS amt FROM ({_MONEY_LINES}) WHERE len(m) > 0"
+_FIELDS = tuple(A.FIELDS)
+
+
+@query("ocr_fields", f"WITH a AS ({_AMOUNTS}) SELECT o.ocr_id, " + ", ".join(f"CAST({f}.amt AS DOUBLE) AS {f}" for f in _FIELDS) + " FROM ocr_structured o " + " ".join(f"LEFT JOIN ({_field_sql(*A.FIELDS[f])}) {f} ON {f}.ocr_id = o.ocr_id" for f in _FIELDS))
 def ocr_fields(s: SparkSession, d: str) -> DataFrame:
     return A.arithmetic(_structured(s, d)).select("ocr_id", *[F.col(f).cast("double").alias(f) for f in _FIELDS])
 
 
-@query("ocr_arithmetic")
+_ITEM_LINES = f"SELECT ocr_id, line FROM (SELECT *, row_number() OVER (PARTITION BY ocr_id ORDER BY idx) AS r FROM (SELECT ocr_id, left(line, 120) AS line, min(idx) AS idx FROM a WHERE NOT ({_ANY_TAG}) AND NOT ({_STOP_SQL}) GROUP BY 1, 2)) WHERE r <= 30"
+_FIELD_ROWS = "SELECT o.ocr_id, " + ", ".join(f"{f}.amt AS {f}" for f in _FIELDS) + " FROM ocr_structured o " + " ".join(f"LEFT JOIN ({_field_sql(*A.FIELDS[f])}) {f} ON {f}.ocr_id = o.ocr_id" for f in _FIELDS)
+#: The checks of each text, one row each, in order.
+_CHECKS = f"""a AS MATERIALIZED ({_AMOUNTS}), i AS ({_ITEM_LINES}),
+ t AS (SELECT a.ocr_id, count(*) AS item_count, CAST(round(sum(a.amt), 2) AS DECIMAL(18,3)) AS item_sum FROM a JOIN i ON i.ocr_id = a.ocr_id AND i.line = left(a.line, 120) GROUP BY 1),
+ f AS MATERIALIZED (SELECT f.*, coalesce(item_count, 0) AS item_count, coalesce(item_sum, 0) AS item_sum FROM ({_FIELD_ROWS}) f LEFT JOIN t ON t.ocr_id = f.ocr_id),
+ e AS (SELECT *, CAST(round(coalesce(subtotal, nullif(item_sum, 0)) + coalesce(tax, 0) + coalesce(service_charge, 0) - abs(coalesce(discount, 0)) + coalesce(rounding, 0), 2) AS DECIMAL(18,3)) AS expected, CAST(round(paid - change, 2) AS DECIMAL(18,3)) AS net FROM f),
+ r AS (SELECT ocr_id, 1 AS ord, 'items_vs_subtotal' AS name, item_sum AS lhs, subtotal AS rhs, subtotal - item_sum AS diff FROM e WHERE subtotal IS NOT NULL AND item_sum <> 0
+ UNION ALL SELECT ocr_id, 2, 'expected_total_vs_total', expected, total, total - expected FROM e WHERE expected IS NOT NULL AND total IS NOT NULL
+ UNION ALL SELECT ocr_id, 3, 'paid_minus_change_vs_total', net, total, net - total FROM e WHERE net IS NOT NULL AND total IS NOT NULL),
+ c AS MATERIALIZED (SELECT ocr_id, ord, name, lhs, rhs, round(diff, 2) AS diff, CASE WHEN rhs >= 1 THEN abs(round(diff, 2)) <= greatest(0.10, rhs * 0.1) ELSE abs(round(diff, 2)) <= 0.10 END AS passes FROM r)"""
+
+
+@query(
+    "ocr_arithmetic",
+    f"""WITH {_CHECKS}, v AS (SELECT ocr_id, count(*) AS n, bool_or(passes) AS ok, first(name ORDER BY NOT passes, CASE WHEN passes THEN abs(diff) ELSE 0 END, ord) AS best FROM c GROUP BY 1)
+ SELECT f.ocr_id, CAST(f.item_count AS INTEGER) AS item_count, CAST(f.item_sum AS DOUBLE) AS item_sum, CAST(coalesce(v.n, 0) AS INTEGER) AS n_checks, v.ok AS arithmetic_consistent, v.best AS best_explanation FROM f LEFT JOIN v ON v.ocr_id = f.ocr_id""",
+)
 def ocr_arithmetic(s: SparkSession, d: str) -> DataFrame:
     return A.arithmetic(_structured(s, d)).select("ocr_id", "item_count", F.col("item_sum").cast("double").alias("item_sum"), F.size("checks").alias("n_checks"), "arithmetic_consistent", "best_explanation")
 
 
+@query("ocr_checks", f"WITH {_CHECKS} SELECT ocr_id, name, CAST(CAST(round(lhs, 2) AS DECIMAL(18,2)) AS VARCHAR) AS lhs, CAST(CAST(round(rhs, 2) AS DECIMAL(18,2)) AS VARCHAR) AS rhs, CAST(diff AS DOUBLE) AS diff, passes FROM c")
+def ocr_checks(s: SparkSession, d: str) -> DataFrame:
+    c = A.arithmetic(_structured(s, d)).select("ocr_id", F.explode("checks").alias("c"))
+    return c.select("ocr_id", "c.name", "c.lhs", "c.rhs", F.col("c.diff").cast("double").alias("diff"), "c.passes")
+
+
+@query("ocr_capped_text", rf"SELECT ocr_id, left(trim({_CLEAN}, ' ' || chr(9) || chr(10)), 4000) AS cleaned_text FROM ocr_structured WHERE cleaned_text IS NOT NULL")
+def ocr_capped_text(s: SparkSession, d: str) -> DataFrame:
+    return A.structure(_ocr(s, d).where("text is not null"), "text").select("ocr_id", "cleaned_text")
+
+
 @query("ocr_semantic_checks")
 def ocr_semantic_checks(s: SparkSession, d: str) -> DataFrame:
     return A.audit(_ocr(s, d), "text").select("ocr_id", F.explode("semantic_checks").alias("c")).select("ocr_id", F.col("c.name").alias("name"), F.col("c.passed").alias("passed"), F.col("c.details").alias("details"))
@@ -319,7 +353,7 @@ def eval_summary(s: SparkSession, d: str) -> DataFrame:
 
 @query("eval_confusion", f"SELECT label AS predicted, gt, count(*) AS n FROM ({_JUDGED}) GROUP BY 1, 2")
 def eval_confusion(s: SparkSession, d: str) -> DataFrame:
-    return _judged(s, d).groupBy(F.col("label").alias("predicted"), "gt").agg(F.count("*").alias("n"))
+    return E.confusion(_judged(s, d))
 
 
 @query("disagreement_cases", f"SELECT receipt_id, count(*) AS n_votes, count(DISTINCT label) AS n_labels FROM ({_LAST}) GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT label) > 1")
@@ -359,7 +393,7 @@ def uncertainty_matrix(s: SparkSession, d: str) -> DataFrame:
 
 @query("mean_confidence_by_correct", f"SELECT label = gt AS correct, count(*) AS n, round(avg(avg_c), 6) AS mean_confidence FROM (SELECT v.label, v.avg_c, g.gt FROM ({_VERDICT}) v JOIN ({_TRUTH}) g ON g.receipt_id = v.receipt_id) GROUP BY 1")
 def mean_confidence_by_correct(s: SparkSession, d: str) -> DataFrame:
-    return _judged(s, d).groupBy((F.col("label") == F.col("gt")).alias("correct")).agg(F.count("*").alias("n"), F.round(F.avg("avg_confidence"), 6).alias("mean_confidence"))
+    return E.by_correctness(_judged(s, d), "avg_confidence").select("correct", "n", F.round("mean", 6).alias("mean_confidence"))
 
 
 # --- sample entries, files, judges ------------------------------------------------------------------------------------
@@ -367,13 +401,12 @@ def mean_confidence_by_correct(s: SparkSession, d: str) -> DataFrame:
 
 @query("label_counts", "SELECT coalesce(split, 'none') AS split, coalesce(upper(trim(label)), 'none') AS label, count(*) AS n FROM sample_entries GROUP BY 1, 2")
 def label_counts(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "sample_entries").groupBy(F.coalesce("split", F.lit("none")).alias("split"), F.coalesce(F.upper(F.trim("label")), F.lit("none")).alias("label")).agg(F.count("*").alias("n"))
+    return E.label_counts(read(s, d, "sample_entries"))
 
 
 @query("valid_entries", "SELECT id, label, split, image_path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_pos DESC) AS r FROM sample_entries WHERE id IS NOT NULL) WHERE r = 1")
 def valid_entries(s: SparkSession, d: str) -> DataFrame:
-    e = read(s, d, "sample_entries").where("id is not null")
-    return e.groupBy("id").agg(F.max_by(F.struct("label", "split", "image_path"), "row_pos").alias("e")).select("id", "e.*")
+    return R.last_entries(read(s, d, "sample_entries")).select("id", "label", "split", "image_path")
 
 
 @query("stratified_sample", f"SELECT receipt_id AS id, gt AS label FROM (SELECT *, row_number() OVER (PARTITION BY gt ORDER BY md5('42|' || receipt_id), receipt_id) AS r FROM ({_TRUTH}) WHERE gt IN ('REAL', 'FAKE')) WHERE r <= 5")
@@ -419,6 +452,154 @@ def prompts_without_answer(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "judge_prompts").join(done, "prompt_id", "left_anti").select("prompt_id", "receipt_id", "judge_id")
 
 
+@query("confusion_map", f"SELECT * FROM (SELECT CASE WHEN label = 'UNCERTAIN' THEN 'UNCERTAIN' WHEN label = 'FAKE' THEN CASE gt WHEN 'FAKE' THEN 'TP' WHEN 'REAL' THEN 'FP' END WHEN gt = 'REAL' THEN 'TN' WHEN gt = 'FAKE' THEN 'FN' END AS kind, count(*) AS n FROM ({_JUDGED}) GROUP BY 1) WHERE kind IS NOT NULL")
+def confusion_map(s: SparkSession, d: str) -> DataFrame:
+    return E.confusion_map(_judged(s, d)).select(F.explode("confusion_matrix").alias("kind", "n"))
+
+
+_UNSURE_BY = f"SELECT v.label = v.gt AS correct, v.receipt_id, u.u FROM ({_JUDGED}) v JOIN (SELECT receipt_id, avg({_U}) AS u FROM ({_LAST}) GROUP BY 1) u ON u.receipt_id = v.receipt_id"
+
+
+def _unsure(s: SparkSession, d: str) -> DataFrame:
+    """Judged receipts with the mean uncertainty of their judges."""
+    u = _votes(s, d).withColumn("u", V.judge_uncertainty(None)).groupBy("receipt_id").agg(F.avg("u").alias("u"))
+    return _judged(s, d).join(u, "receipt_id")
+
+
+@query("uncertainty_by_correct", f"SELECT correct, count(*) AS n, round(avg(u), 6) AS mean_uncertainty FROM ({_UNSURE_BY}) GROUP BY 1")
+def uncertainty_by_correct(s: SparkSession, d: str) -> DataFrame:
+    return E.by_correctness(_unsure(s, d), "u").select("correct", "n", F.round("mean", 6).alias("mean_uncertainty"))
+
+
+@query("uncertainty_histogram", f"SELECT correct, CAST(least(floor(round(u, 9) * 20), 19) AS INTEGER) AS bin, count(*) AS n FROM ({_UNSURE_BY}) GROUP BY 1, 2")
+def uncertainty_histogram(s: SparkSession, d: str) -> DataFrame:
+    u = _unsure(s, d).select((F.col("label") == F.col("gt")).alias("correct"), F.round("u", 9).alias("u"))
+    return E.histogram(u, "u", "correct")
+
+
+@query("mean_answer_seconds", "SELECT count(*) AS n, round(avg((epoch_us(b) - epoch_us(a)) / 1e6), 3) AS seconds FROM (SELECT receipt_id, min(judged_at) AS a, max(loaded_at) AS b FROM judge_results WHERE receipt_id IS NOT NULL GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL")
+def mean_answer_seconds(s: SparkSession, d: str) -> DataFrame:
+    return E.mean_seconds(read(s, d, "judge_results"), "judged_at", "loaded_at").select("n", F.round("seconds", 3).alias("seconds"))
+
+
+_REASONS = f"""SELECT result_id, list_concat(l[1:4], CASE len(l) WHEN 0 THEN ['No reason provided', 'No reason provided'] WHEN 1 THEN ['No reason provided'] ELSE [] END) AS rs FROM (
+ SELECT result_id, CASE json_type({_SAFE}, '$.reasons') WHEN 'ARRAY' THEN CAST(json_extract({_SAFE}, '$.reasons') AS VARCHAR[]) WHEN 'VARCHAR' THEN [json_extract_string({_SAFE}, '$.reasons')] ELSE [] END AS l FROM ({_JSON}) WHERE {_OK})"""
+
+
+def _parsed(s: SparkSession, d: str) -> DataFrame:
+    return J.parse_responses(read(s, d, "judge_results").select("result_id", "raw_response"))
+
+
+@query("judge_parse_reasons", f"SELECT result_id, array_to_string(rs, ' | ') AS reasons FROM ({_REASONS})")
+def judge_parse_reasons(s: SparkSession, d: str) -> DataFrame:
+    return _parsed(s, d).where("parse_error is null").select("result_id", F.array_join("reasons", " | ").alias("reasons"))
+
+
+@query("judge_valid", "SELECT result_id, TRUE AS valid FROM judge_results")
+def judge_valid(s: SparkSession, d: str) -> DataFrame:
+    """Every answer is valid once its fields are coerced, a failed one too."""
+    return _parsed(s, d).select("result_id", J.is_valid().alias("valid"))
+
+
+# --- scalar functions, prompts and documents -----------------------------------------------------------------------------
+
+
+@query("money_texts", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS shown FROM orders")
+def money_texts(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "orders").select("o_orderkey", X.money_text(F.col("o_totalprice").cast("decimal(18,2)")).alias("shown"))
+
+
+@query("truncated_answers", r"SELECT result_id, CASE WHEN length(t) > 160 THEN left(t, 159) || '…' ELSE t END AS shown FROM (SELECT result_id, trim(raw_response, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM judge_results)")
+def truncated_answers(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "judge_results").select("result_id", X.truncate(F.col("raw_response"), 160).alias("shown"))
+
+
+@query("data_urls", r"SELECT row_pos, 'data:' || CASE lower(regexp_extract(image_path, '\.([^./]+)$', 1)) WHEN 'png' THEN 'image/png' WHEN 'webp' THEN 'image/webp' WHEN 'bmp' THEN 'image/bmp' WHEN 'tif' THEN 'image/tiff' WHEN 'tiff' THEN 'image/tiff' ELSE 'image/jpeg' END || ';base64,' || base64(encode(id)) AS url FROM sample_entries WHERE image_path IS NOT NULL AND id IS NOT NULL")
+def data_urls(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "sample_entries").where("image_path is not null and id is not null")
+    return e.select("row_pos", X.data_url(F.col("image_path"), F.encode("id", "UTF-8")).alias("url"))
+
+
+_PRESENT = ["copymove/copymove_rois.png", "mela/mela_heat.png", "noise/noise_heat.png", "other.png"]
+
+
+@query("supporting_images", f"SELECT judge_id, CASE WHEN forensic_mode IN ('GRAPHIC', 'FULL') THEN '{','.join(x for x in J.SUPPORTING if x in _PRESENT)}' ELSE '' END AS images FROM judge_config")
+def supporting_images(s: SparkSession, d: str) -> DataFrame:
+    present = F.array(*[F.lit(x) for x in _PRESENT])
+    return read(s, d, "judge_config").select("judge_id", F.array_join(J.supporting_images(F.col("forensic_mode"), present), ",").alias("images"))
+
+
+_SKILL_LINES = "array_to_string(list_transform(list_filter([" + ", ".join(repr(k) for k in SKILLS) + "], lambda k: list_contains(focus_skills, k)), lambda k, i: '#### ' || i || '. ' || k || chr(10) || CASE k " + " ".join(f"WHEN '{k}' THEN '{J.SKILL_TEXT[k]}'" for k in SKILLS) + " END), chr(10) || chr(10) || '---' || chr(10) || chr(10))"
+
+
+@query("judge_skill_blocks", f"SELECT judge_id, {_SKILL_LINES} AS block FROM judge_config")
+def judge_skill_blocks(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "judge_config").select("judge_id", J.skills_block(J.normalise_skills(F.col("focus_skills"))).alias("block"))
+
+
+@query(
+    "judge_prompt_texts",
+    f"""SELECT o.receipt_id, j.judge_id, md5('You are ' || judge_name || '. Decide whether the receipt is REAL, FAKE or UNCERTAIN.' || chr(10) || chr(10) || {_SKILL_LINES} || chr(10) || chr(10) || '### Evidence (' || forensic_mode || ')' || chr(10) || o.receipt_id || '/' || forensic_mode
+ || chr(10) || chr(10) || '### Answer with one JSON object' || chr(10) || '{{"label": ..., "confidence": ..., "reasons": [...], "skill_results": {{' || array_to_string(list_filter([{", ".join(repr(k) for k in SKILLS)}], lambda k: list_contains(focus_skills, k)), ': ..., ') || ': ...}}, "flags": [...], "risk_level": ...}}') AS prompt_md5
+ FROM (SELECT DISTINCT receipt_id FROM ocr_structured WHERE receipt_id IS NOT NULL) o CROSS JOIN judge_config j""",
+)
+def judge_prompt_texts(s: SparkSession, d: str) -> DataFrame:
+    receipts = read(s, d, "ocr_structured").where("receipt_id is not null").select("receipt_id").distinct()
+    evidence = receipts.select("receipt_id", F.explode(F.array(*[F.lit(m) for m in MODES])).alias("mode"))
+    evidence = evidence.withColumn("evidence", F.concat_ws("/", "receipt_id", "mode"))
+    return J.prompts(evidence, read(s, d, "judge_config")).select("receipt_id", "judge_id", F.md5("prompt").alias("prompt_md5"))
+
+
+@query("shuffled_order", "SELECT id, row_number() OVER (ORDER BY md5('43|' || id), id) AS place FROM (SELECT DISTINCT id FROM sample_entries WHERE id IS NOT NULL)")
+def shuffled_order(s: SparkSession, d: str) -> DataFrame:
+    e = R.shuffled(read(s, d, "sample_entries").where("id is not null").select("id").distinct())
+    return e.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + 1)).toDF("id string, place long")
+
+
+def _folder(s: SparkSession) -> str:
+    return f"{shared_dir(s)}/files-{uuid.uuid4().hex}"
+
+
+_VALID = "SELECT id, label, split, image_path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_pos DESC) AS r FROM sample_entries WHERE id IS NOT NULL) WHERE r = 1"
+
+
+@query("labels_from_csv", f"SELECT id AS receipt_id, CASE WHEN upper(trim(label)) = 'FAKE' THEN 'FAKE' ELSE 'REAL' END AS label, split FROM ({_VALID}) WHERE split IN ('train', 'val', 'test')")
+def labels_from_csv(s: SparkSession, d: str) -> DataFrame:
+    """The label files of every split, written from the sample entries in the shared folder and scanned again."""
+    root = _folder(s)
+    e = R.last_entries(read(s, d, "sample_entries"))
+    for i, split in enumerate(("train", "val", "test")):
+        rows = e.where(F.col("split") == split).select(F.concat("id", F.lit(".png")).alias("image"), (F.upper(F.trim("label")) == "FAKE").cast("string").alias("forged"), F.lit('{"a": "x, ""y""\n"}').alias("forgery annotations"))
+        rows.write.option("header", True).option("escape", '"').csv(f"{root}/{split}.{'txt' if i == 2 else 'csv'}")
+    return files.label_table(s, root).select("receipt_id", "label", "split")
+
+
+@query("verdict_documents", f"SELECT receipt_id, label, strategy_used, round(avg_c, 6) AS avg_confidence FROM ({_VERDICT})")
+def verdict_documents(s: SparkSession, d: str) -> DataFrame:
+    """Verdicts written as JSON documents and scanned again."""
+    root = _folder(s)
+    sinks.write_documents(_verdicts(s, d), root)
+    return files.verdicts(s, root, one_per_file=False).select("receipt_id", "label", "strategy_used", F.round("avg_confidence", 6).alias("avg_confidence"))
+
+
+@query("sample_document", f"SELECT receipt_id AS id, gt AS label FROM (SELECT *, row_number() OVER (PARTITION BY gt ORDER BY md5('42|' || receipt_id), receipt_id) AS r FROM ({_TRUTH}) WHERE gt IN ('REAL', 'FAKE')) WHERE r <= 5")
+def sample_document(s: SparkSession, d: str) -> DataFrame:
+    """The sample file, written as one document with its envelope and scanned again."""
+    root = _folder(s)
+    R.sample_document(stratified_sample(s, d), 42, "all").write.json(root)
+    return files.sample_file(s, root).select("id", "label")
+
+
+@query("receipt_texts", "SELECT receipt_id, md5(text) AS text_md5 FROM (SELECT receipt_id, max(cleaned_text) AS text FROM ocr_structured WHERE receipt_id IS NOT NULL AND length(cleaned_text) > 0 GROUP BY 1)")
+def receipt_texts(s: SparkSession, d: str) -> DataFrame:
+    """Whole text files, one folder for each receipt, scanned again."""
+    root = _folder(s)
+    t = read(s, d, "ocr_structured").where("receipt_id is not null and length(cleaned_text) > 0").groupBy("receipt_id").agg(F.max("cleaned_text").alias("value"))
+    t.withColumn("r", F.col("receipt_id")).select("r", "value").write.partitionBy("r").option("lineSep", "\u0000").text(root)
+    got = files.texts(s, f"{root}/*")
+    return got.select(F.regexp_extract("path", "/r=([^/]+)/", 1).alias("receipt_id"), F.md5(F.rtrim("text", F.lit("\u0000"))).alias("text_md5"))
+
+
 # --- relational forensics ---------------------------------------------------------------------------------------------
 
 

@@ -80,8 +80,9 @@ def hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def verdicts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(VERDICT).option("multiLine", True).json(path)
+def verdicts(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Verdict documents, one to a file, or one to a line (as ``sinks.write_documents`` leaves them)."""
+    return spark.read.schema(VERDICT).option("multiLine", one_per_file).json(path)
 
 
 def sample_file(spark: SparkSession, path: str) -> DataFrame:
