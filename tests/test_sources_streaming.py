@@ -46,20 +46,59 @@ def test_archive(tmp_path):
             raise OSError("down")
         return z.open("rb")
 
-    assert files.download("u", str(tmp_path / "b.zip"), opener) and len(calls) == 2
+    assert files.download("u", str(tmp_path / "b.zip"), opener, delay=0) and len(calls) == 2
     assert files.download("u", str(tmp_path / "b.zip"), opener) and len(calls) == 2
     with pytest.raises(RuntimeError):
-        files.download("u", str(tmp_path / "c.zip"), lambda u: (tmp_path / "nothing").open("rb"))
+        files.download("u", str(tmp_path / "c.zip"), lambda u: (tmp_path / "nothing").open("rb"), delay=0)
 
 
 def test_json_sinks(spark, tmp_path):
     d = spark.createDataFrame([("a", float("nan"), [1.0, float("inf")], None)], "receipt_id string, x double, y array<double>, s string")
     assert json.loads(sinks.as_json(d, "receipt_id").first().json) == {"receipt_id": "a", "x": None, "y": [1.0, None], "s": None}
+    m = spark.sql("select 'a' as k, map('x', double('nan'), 'y', 1d) as m")
+    assert json.loads(sinks.as_json(m, "k").first().json)["m"] == {"x": None, "y": 1.0}
     sinks.write_missing(d, None, str(tmp_path / "t"))
     sinks.write_missing(d, spark.read.parquet(str(tmp_path / "t")), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
 
 
+def test_last_answer_of_a_judge_stands_in_a_stream(spark, tmp_path):
+    rows = [(1, "r", "j", 1, "REAL", "2024-01-01 10:00:00"), (2, "r", "j", 2, " fake ", "2024-01-01 09:00:00"), (3, "r", "j", 2, "fake", "2024-01-01 08:00:00"), (4, "r", "k", 1, "REAL", "2024-01-01 10:00:00"), (5, "r", None, 1, "REAL", "2024-01-01 10:00:00")]
+    t = spark.createDataFrame(rows, "result_id long, receipt_id string, judge_id string, attempt int, label string, judged_at string").withColumn("judged_at", F.to_timestamp("judged_at"))
+    t.write.parquet(str(tmp_path / "in"))
+    q = running_votes(spark.readStream.schema(t.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("last_votes").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r.n, r.fake, r.real, r.uncertain) for r in spark.table("last_votes").collect()] == [(2, 1, 1, 0)]
+
+
+def test_probe_listing_and_metadata(spark, tmp_path):
+    assert files.probe("u", lambda u: {"Content-Length": "12"}) == 12 and files.probe("u", lambda u: {}) is None
+
+    def down(url):
+        raise OSError("down")
+
+    with pytest.raises(ConnectionError):
+        files.probe("u", down)
+    z, waits = tmp_path / "a.zip", []
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("x.txt", "hello")
+    size = {"content-length": str(z.stat().st_size)}
+    assert files.download("u", str(tmp_path / "b.zip"), lambda u: z.open("rb"), head=lambda u: size)
+    with pytest.raises(RuntimeError):
+        files.download("u", str(tmp_path / "c.zip"), lambda u: z.open("rb"), head=lambda u: {"content-length": "3"}, sleep=waits.append)
+    assert waits == [5.0, 5.0]
+    for f in ("train/b.jpg", "train/a.png", "val/c.png", "train/n.txt"):
+        (tmp_path / "i" / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "i" / f).write_bytes(b"x")
+    index = files.file_index(spark, str(tmp_path / "i"))
+    assert [r.stem for r in files.list_images(index, "train").collect()] == ["a", "b"] and files.list_images(index).count() == 3
+    (tmp_path / "m.csv").write_text('image,forged,extra\na.png,TRUE,"1,2"\nb.png,,\n')
+    assert [tuple(r) for r in files.split_info(spark, str(tmp_path / "m.csv"), "val").collect()] == [("a.png", "TRUE", "1,2", "FAKE", "val"), ("b.png", None, None, "REAL", "val")]
+    with pytest.raises(FileNotFoundError):
+        files.split_info(spark, str(tmp_path / "none.csv"), "val")
+
+
 def test_streams(spark, tmp_path, data):
     r = spark.read.parquet(f"{data}/judge_results.parquet").select("result_id", "receipt_id", "judge_id", "label", "judged_at")
     r.write.parquet(str(tmp_path / "in"))
@@ -68,5 +107,5 @@ def test_streams(spark, tmp_path, data):
     q.processAllAvailable()
     q.stop()
     n = spark.table("running").agg(F.sum("n")).first()[0]
-    assert n == r.where("receipt_id is not null").select("receipt_id", "judge_id").distinct().count()
+    assert n == r.where("receipt_id is not null").select("receipt_id", "judge_id", F.window("judged_at", "1 day")).distinct().count()
     assert judge_sessions(r).agg(F.sum("n")).first()[0] == r.where("judge_id is not null").count()

@@ -112,6 +112,12 @@ def features(images: DataFrame, mode: str = "FULL", image: str = "image", conten
     return out
 
 
+def dimensions(df: DataFrame, height: str = "height", width: str = "width", length: str = "length") -> DataFrame:
+    """Adds aspect (height by width), megapixels and kilobytes of image files; null where the width is 0."""
+    h, w = F.col(height), F.col(width)
+    return df.withColumns({"aspect": F.round(h / F.nullif(w, F.lit(0)), 2), "megapixels": F.round(h * w / 1e6, 3), "kilobytes": F.round(F.col(length) / 1024, 1)})
+
+
 def copy_move(images: DataFrame, id_col: str = "origin", image: str = "image", least: int = 18) -> DataFrame:
     """(id_col, bin_x, bin_y, n, boxes, rank): the largest clusters of equal translation within each image."""
 

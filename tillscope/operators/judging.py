@@ -7,17 +7,21 @@ judges by the computable rules of the audit.
 from __future__ import annotations
 
 import json
+import re
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.functions.text import strip
 from tillscope.schemas import FLAGS, LABELS, RISKS, SKILL_RESULTS, SKILLS
 from tillscope.session import staged
 
+#: The reasons of a failed row.
 ERROR_REASONS = ["Failed to parse judge response", "Judge returned invalid schema"]
 SKILL_TEXT = {
     "math_consistency": "Recompute line totals, subtotal, tax and total, and payment less change.",
@@ -116,6 +120,19 @@ def skills_block(skills: Column) -> Column:
     return F.array_join(parts, "\n\n---\n\n")
 
 
+def skill_text(markdown: str, where: str) -> str:
+    """A skill's text for ``skills_block``: it stands below a heading of level 3, so it may hold none of levels 1 to 3."""
+    if re.search(r"^#{1,3}\s", markdown, re.MULTILINE):
+        raise ValueError(f"heading of level 3 or less in {where}")
+    return markdown.strip()
+
+
+def with_constraint(system: str, skills: list[str]) -> str:
+    """A system prompt whose fourth rule, if it speaks of skill_results, names the skills that are asked for."""
+    rule = f'4. `"skill_results"` holds one of {", ".join(SKILL_RESULTS)} for each of these {len(skills)}: {", ".join(skills)}.'
+    return re.sub(r'^[ \t]*4\.[ \t].*"skill_results".*$', lambda _: rule, system, count=1, flags=re.MULTILINE)
+
+
 def output_schema(skills: list[str] | None = None) -> str:
     """The JSON shape that a judge is asked for, with only its skills."""
     use = [s for s in SKILLS if skills is None or s in skills]
@@ -154,6 +171,36 @@ def message(prompt: Column, images: Column, persona: Column | None = None, image
 CLIENTS: dict[str, Callable[[], Client]] = {}
 
 
+def presets(spark: SparkSession) -> DataFrame:
+    """The two judges that are there without a configuration, in its columns."""
+    #: Names, temperatures, skills and modes.
+    rows = [
+        ("judge_1", "Forensic Accountant", 0.2, 1024, ["math_consistency", "contextual_validation"], "READING"),
+        ("judge_2", "Document Examiner", 0.6, 1024, ["typography_analysis", "visual_authenticity", "layout_structure"], "GRAPHIC"),
+    ]
+    return spark.createDataFrame(rows, "judge_id string, judge_name string, temperature double, max_tokens int, focus_skills array<string>, forensic_mode string")
+
+
+def acceptable(raw: str | None) -> bool:
+    """Whether an answer need not be asked for again: it parses, or it is no JSON object at all and gives the failed row.
+
+    A JSON object with a confidence that is no number, with skills that are no object or flags that are null is asked for again.
+    """
+    body = re.sub(r"```(?:json)?", "", raw or "").strip()
+    found = re.search(r"\{.*\}", body, re.DOTALL)
+    try:
+        answer = json.loads(found.group(0) if found else body)
+    except ValueError:
+        return True
+    if not isinstance(answer, dict):
+        return True
+    try:
+        float(answer.get("confidence", 0.0))
+    except (TypeError, ValueError):
+        return False
+    return isinstance(answer.get("skill_results", {}), dict) and isinstance(answer.get("flags", []), list)
+
+
 def client_for(model: str) -> Callable[[], Client]:
     return next((make for word, make in CLIENTS.items() if word in model), RuleJudge)
 
@@ -168,28 +215,34 @@ def supporting_images(mode: Column, present: Column) -> Column:
     return F.when(mode.isin("GRAPHIC", "FULL"), wanted).otherwise(F.array().cast("array<string>"))
 
 
-def call_judges(rows: DataFrame, make_client: Callable[[], Client], max_attempts: int = 3) -> DataFrame:
-    """Adds raw_response, attempts and call_error by calling the client per row, with retries on exceptions only.
+def call_judges(rows: DataFrame, make_client: Callable[[], Client], max_attempts: int = 3, accept: Callable[[str | None], bool] = acceptable, at_once: int = 1, wait: float = 0.0) -> DataFrame:
+    """Adds raw_response, attempts and call_error by calling the client per row, until an answer is acceptable.
 
-    The client is built once per task. It must be idempotent, since a task may be run again.
+    The client is built once per task and called ``at_once`` times side by side, which it must allow. It must be
+    idempotent, since a task may be run again. Before the n-th further try ``wait`` x 2^(n-1) seconds pass. A row without
+    any acceptable answer keeps null and the last error.
     """
 
+    def ask(client: Client, row: dict) -> tuple[str | None, int, str | None]:
+        error = None
+        for n in range(1, max_attempts + 1):
+            if n > 1 and wait:
+                time.sleep(wait * 2 ** (n - 2))
+            try:
+                raw = client(row)
+                if accept(raw):
+                    return raw, n, None
+                error = "Max retries exceeded. Last error: invalid answer"
+            except Exception as e:  # noqa: BLE001
+                error = f"Max retries exceeded. Last error: {e}"
+        return None, max_attempts, error
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
-        for pdf in batches:
-            raws, tries, errors = [], [], []
-            for row in pdf.to_dict("records"):
-                raw, error, n = None, None, 0
-                for n in range(1, max_attempts + 1):
-                    try:
-                        raw, error = client(row), None
-                        break
-                    except Exception as e:  # noqa: BLE001
-                        error = f"Max retries exceeded. Last error: {e}"
-                raws.append(raw)
-                tries.append(n)
-                errors.append(error)
-            yield pdf.assign(raw_response=raws, attempts=tries, call_error=errors)
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in batches:
+                got = list(pool.map(lambda row: ask(client, row), pdf.to_dict("records")))
+                yield pdf.assign(raw_response=[g[0] for g in got], attempts=[g[1] for g in got], call_error=[g[2] for g in got])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInPandas(run, f"{fields}, raw_response string, attempts int, call_error string")

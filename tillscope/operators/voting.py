@@ -29,6 +29,14 @@ def winner(fake: Column, real: Column, uncertain: Column, n: Column, threshold:
     return label, how
 
 
+def vote_all(receipts: DataFrame, results: DataFrame, **kw) -> DataFrame:
+    """``vote`` for every receipt_id of ``receipts``; one that has no vote at all is an error when its row is made."""
+    v = vote(results, **kw)
+    d = receipts.select("receipt_id").distinct().join(v, "receipt_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no votes for receipt "), F.col("receipt_id"))).cast("string")
+    return d.withColumn("label", F.when(F.col("n").isNull(), missing).otherwise(F.col("label")))
+
+
 def vote(results: DataFrame, order_col: str = "result_id", threshold: int = 2, digits: int | None = 4) -> DataFrame:
     """One verdict per receipt_id from (receipt_id, judge_id, label, confidence, skill_results, flags, risk_level).
 

@@ -556,14 +556,41 @@ def shuffled_order(s: SparkSession, d: str) -> DataFrame:
     return e.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + 1)).toDF("id string, place long")
 
 
-def _folder(s: SparkSession) -> str:
-    return f"{shared_dir(s)}/files-{uuid.uuid4().hex}"
+_VALID_ENTRIES = "SELECT id, label, split, image_path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_pos DESC) AS r FROM sample_entries WHERE id IS NOT NULL) WHERE r = 1"
+
+
+@query("image_listing", f"SELECT split, image_path AS path, row_number() OVER (PARTITION BY split ORDER BY image_path) AS place FROM (SELECT DISTINCT split, image_path FROM ({_VALID_ENTRIES}) WHERE split IS NOT NULL AND image_path IS NOT NULL)")
+def image_listing(s: SparkSession, d: str) -> DataFrame:
+    index = R.last_entries(read(s, d, "sample_entries")).where("split is not null and image_path is not null").select("split", F.col("image_path").alias("path")).distinct()
+    out = []
+    for split in ("train", "val", "test"):
+        listed = files.list_images(index, split).rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1] + 1))
+        out.append(s.createDataFrame(listed, "split string, path string, place long"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-_VALID = "SELECT id, label, split, image_path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_pos DESC) AS r FROM sample_entries WHERE id IS NOT NULL) WHERE r = 1"
+@query("image_dimensions", "SELECT event_id, CAST(round(CAST((100 + event_id % 900) / CAST(nullif(user_id % 700, 0) AS DOUBLE) AS DECIMAL(24,10)), 2) AS DOUBLE) AS aspect, CAST(round(CAST((100 + event_id % 900) * (user_id % 700) AS DECIMAL(24,10)) / 1000000, 3) AS DOUBLE) AS megapixels, round(length(props) * 1000 / 1024.0, 1) AS kilobytes FROM events")
+def image_dimensions(s: SparkSession, d: str) -> DataFrame:
+    from tillscope.operators.imaging.analyzers import dimensions
 
+    e = read(s, d, "events").select("event_id", (100 + F.col("event_id") % 900).alias("height"), (F.col("user_id") % 700).alias("width"), (F.length("props") * 1000).alias("length"))
+    return dimensions(e).select("event_id", "aspect", "megapixels", "kilobytes")
+
+
+@query("split_info_from_csv", "SELECT id || '.png' AS image, CASE WHEN upper(trim(label)) = 'FAKE' THEN 'FAKE' ELSE 'REAL' END AS label, split, 'a, \"b\"' AS note FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_pos DESC) AS r FROM sample_entries WHERE id IS NOT NULL) WHERE r = 1 AND split = 'train'")
+def split_info_from_csv(s: SparkSession, d: str) -> DataFrame:
+    """The metadata file of one split, written in the shared folder and scanned with all its columns."""
+    root = _folder(s)
+    e = R.last_entries(read(s, d, "sample_entries")).where("split = 'train'")
+    e.select(F.concat("id", F.lit(".png")).alias("image"), (F.upper(F.trim("label")) == "FAKE").cast("string").alias("forged"), F.lit('a, "b"').alias("note")).write.option("header", True).option("escape", '"').csv(root)
+    return files.split_info(s, root, "train").select("image", "label", "split", "note")
 
-@query("labels_from_csv", f"SELECT id AS receipt_id, CASE WHEN upper(trim(label)) = 'FAKE' THEN 'FAKE' ELSE 'REAL' END AS label, split FROM ({_VALID}) WHERE split IN ('train', 'val', 'test')")
+
+def _folder(s: SparkSession) -> str:
+    return f"{shared_dir(s)}/files-{uuid.uuid4().hex}"
+
+
+@query("labels_from_csv", f"SELECT id AS receipt_id, CASE WHEN upper(trim(label)) = 'FAKE' THEN 'FAKE' ELSE 'REAL' END AS label, split FROM ({_VALID_ENTRIES}) WHERE split IN ('train', 'val', 'test')")
 def labels_from_csv(s: SparkSession, d: str) -> DataFrame:
     """The label files of every split, written from the sample entries in the shared folder and scanned again."""
     root = _folder(s)
@@ -706,9 +733,11 @@ def image_features(s: SparkSession, d: str) -> DataFrame:
 
 @query("image_copy_move")
 def image_copy_move(s: SparkSession, d: str) -> DataFrame:
-    from tillscope.operators.imaging.analyzers import copy_move
+    """Copied regions of every image, or the reason why there are none."""
+    from tillscope.operators.imaging.analyzers import features
 
-    return copy_move(_images(s, d).repartition(16), "vec_id")
+    f = features(_images(s, d), "GRAPHIC")
+    return f.select("vec_id", "copy_move.pairs_found", "copy_move.reason", "copy_move.good_matches", F.size("copy_move.errors").alias("n_errors"))
 
 
 @query("offline_verdicts")

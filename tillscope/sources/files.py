@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zipfile
 from functools import reduce
 from pathlib import Path
@@ -15,6 +16,26 @@ from tillscope.schemas import IMAGE_EXTENSIONS, SPLITS, VERDICT
 TRUE = ["True", "1", "true", "TRUE"]
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def split_info(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """Every row and column of a metadata CSV as text, with label and split; a missing file is an error."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(path)
+    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    forged = F.trim("forged") if "forged" in raw.columns else F.lit("False")
+    label = F.when(F.coalesce(forged.isin(TRUE), F.lit(False)), "FAKE").otherwise("REAL")
+    return raw.withColumns({"label": label, "split": F.lit(split)})
+
+
+def list_images(index: DataFrame, split: str | None = None) -> DataFrame:
+    """The files of ``file_index``, of one split if given, in the order of their paths."""
+    return (index if split is None else index.where(F.col("split") == split)).orderBy("path")
+
+
 def label_csv(spark: SparkSession, path: str, split: str) -> DataFrame:
     """(receipt_id, label, split, row_pos): ``forged`` true is FAKE, else REAL; rows with a blank image are skipped.
 
@@ -27,12 +48,12 @@ def label_csv(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 
 def label_table(spark: SparkSession, folder: str, splits: list[str] = SPLITS) -> DataFrame:
-    """All splits; each from its metadata CSV, else from its text file, else an error."""
+    """All splits; each from its metadata CSV, else from its text file, else an error. The folder may be on any file system."""
 
     def one(split: str) -> DataFrame:
         for name in (f"{split}.csv", f"{split}.txt"):
-            if (Path(folder) / name).exists():
-                return label_csv(spark, str(Path(folder) / name), split)
+            if _exists(spark, f"{folder}/{name}"):
+                return label_csv(spark, f"{folder}/{name}", split)
         raise FileNotFoundError(f"no labels for split {split} in {folder}")
 
     return reduce(DataFrame.unionByName, [one(s) for s in splits])
@@ -132,18 +153,35 @@ def extract_archive(path: str, target: str) -> bool:
     return True
 
 
-def download(url: str, target: str, opener, sha256: str | None = None, retries: int = 3, chunk: int = 1 << 13) -> str:
-    """Fetch a file to ``target`` through ``opener(url)`` (a readable), by a part file and a rename; a valid file stays."""
+def probe(url: str, head) -> int | None:
+    """The size that a server reports for a file, null if it reports none. ``head(url)`` gives the headers or raises."""
+    try:
+        given = {k.lower(): v for k, v in head(url).items()}.get("content-length")
+    except Exception as e:
+        raise ConnectionError(f"{url} cannot be reached: {e}") from e
+    return None if given is None else int(given)
+
+
+def download(url: str, target: str, opener, sha256: str | None = None, retries: int = 3, chunk: int = 1 << 13, head=None, delay: float = 5.0, sleep=time.sleep) -> str:
+    """Fetch a file to ``target`` through ``opener(url)`` (a readable), by a part file and a rename; a valid file stays.
+
+    With ``head`` the server is asked for the size first, and what was read must have it. ``delay`` seconds lie between tries.
+    """
     out = Path(target)
     if out.exists() and valid_archive(target, sha256):
         return target
+    size = probe(url, head) if head else None
     last: Exception | None = None
-    for _ in range(retries):
+    for i in range(retries):
+        if i:
+            sleep(delay)
         part = out.with_suffix(out.suffix + ".part")
         try:
             with opener(url) as src, part.open("wb") as dst:
                 for b in iter(lambda src=src: src.read(chunk), b""):
                     dst.write(b)
+            if size is not None and part.stat().st_size != size:
+                raise ValueError(f"{part.stat().st_size} bytes instead of {size}")
             if not valid_archive(str(part), sha256):
                 raise ValueError("invalid archive")
             part.replace(out)

@@ -10,7 +10,7 @@ from tillscope.functions.text import finite
 
 
 def sanitised(df: DataFrame) -> DataFrame:
-    """Doubles that JSON cannot hold become null, at the top level and in structs and arrays."""
+    """Doubles that JSON cannot hold become null, at the top level and in structs, arrays and values of maps."""
 
     def clean(c: Column, t: T.DataType) -> Column:
         if isinstance(t, (T.DoubleType, T.FloatType)):
@@ -19,6 +19,8 @@ def sanitised(df: DataFrame) -> DataFrame:
             return F.when(c.isNotNull(), F.struct(*[clean(c[f.name], f.dataType).alias(f.name) for f in t.fields]))
         if isinstance(t, T.ArrayType):
             return F.transform(c, lambda x: clean(x, t.elementType))
+        if isinstance(t, T.MapType):
+            return F.transform_values(c, lambda _, v: clean(v, t.valueType))
         return c
 
     return df.select(*[clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
