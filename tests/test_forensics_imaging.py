@@ -138,3 +138,17 @@ def test_components(spark):
     got = {r.node: r.component for r in components(e).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and got[102] == 100 and got[200] == 200 and len(got) == 44
     assert components(e.limit(0)).count() == 0
+
+
+def test_quantiles_of_any_group(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [("a", float(x)) for x in rng.integers(0, 50, 4000)] + [(None, float(x)) for x in rng.random(7)] + [("b", 1.0), ("c", None), ("d", float("nan")), ("e", 2.0), ("e", 4.0)]
+    ps = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p993": 0.993, "p100": 1.0}
+    got = {r.g: [r[k] for k in ps] for r in N.quantiles(spark.createDataFrame(rows, "g string, x double"), "g", "x", ps).collect()}
+    values = {g: [x for h, x in rows if h == g and x is not None and x == x] for g in ("a", None, "b", "e")}
+    assert set(got) == set(values)
+    for g, v in values.items():
+        assert np.allclose(got[g], np.percentile(v, [100 * p for p in ps.values()]))
+    assert N.quantiles(spark.createDataFrame([], "g string, x double"), "g", "x", ps).count() == 0

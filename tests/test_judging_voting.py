@@ -140,3 +140,36 @@ def test_run_end_to_end(spark, tmp_path):
     assert got == {"a": "REAL", "b": "FAKE"}
     run.run(rec, out, spark.read.parquet(out))
     assert spark.read.parquet(out).count() == 2
+
+
+def test_answers_that_are_asked_for_again(spark):
+    answers = ['{"confidence": "high"}', '{"flags": null}', '{"skill_results": [1]}', '```json\n{"label": "REAL", "confidence": 90}\n```']
+    assert [J.acceptable(a) for a in [*answers, None, "", "no object", "[1]", "{broken"]] == [False, False, False, True, True, True, True, True, True]
+
+    def client():
+        left = iter(answers)
+        return lambda row: next(left)
+
+    got = J.call_judges(spark.createDataFrame([("r",)], "receipt_id string").coalesce(1), client, max_attempts=4).first()
+    assert (got.raw_response, got.attempts, got.call_error) == (answers[3], 4, None)
+    worst = J.call_judges(spark.createDataFrame([("r",)], "receipt_id string").coalesce(1), client, max_attempts=2, at_once=4).first()
+    assert (worst.raw_response, worst.attempts) == (None, 2) and "invalid answer" in worst.call_error
+
+
+def test_templates_and_presets(spark):
+    assert J.skill_text("#### Sums\n- add\n", "x") == "#### Sums\n- add"
+    with pytest.raises(ValueError):
+        J.skill_text("text\n### Sums\n", "x")
+    rules = '3. keep\n4. `"skill_results"` MUST have **all 5 skills**\n5. keep\n4. other'
+    assert J.with_constraint(rules, ["a", "b"]).splitlines()[1].endswith("each of these 2: a, b.") and J.with_constraint(rules, ["a"]).splitlines()[2:] == ["5. keep", "4. other"]
+    assert J.with_constraint("4. nothing of that kind", ["a"]) == "4. nothing of that kind"
+    evidence = spark.createDataFrame([("r", "READING", "{}"), ("r", "GRAPHIC", "{}")], "receipt_id string, mode string, evidence string")
+    got = {r.judge_id: r.skills for r in J.prompts(evidence, J.presets(spark)).collect()}
+    assert got == {"judge_1": ["math_consistency", "contextual_validation"], "judge_2": ["typography_analysis", "visual_authenticity", "layout_structure"]}
+
+
+def test_receipt_without_votes_is_an_error(spark):
+    v = spark.createDataFrame([(1, "a", "j", "REAL", 80.0, None, None, "low")], "result_id long, receipt_id string, judge_id string, label string, confidence double, skill_results map<string,string>, flags array<string>, risk_level string")
+    assert [r.label for r in V.vote_all(v.select("receipt_id"), v).collect()] == ["REAL"]
+    with pytest.raises(Exception, match="no votes for receipt b"):
+        V.vote_all(spark.createDataFrame([("a",), ("b",)], "receipt_id string"), v).collect()

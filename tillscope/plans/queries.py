@@ -231,7 +231,25 @@ def ocr_capped_text(s: SparkSession, d: str) -> DataFrame:
     return A.structure(_ocr(s, d).where("text is not null"), "text").select("ocr_id", "cleaned_text")
 
 
-@query("ocr_semantic_checks")
+def _strict_sql(include: str, exclude: str | None, phrases: list[str]) -> str:
+    score = "CASE " + " ".join(f"WHEN contains(norm, '{p}') THEN {200 - 20 * i}" for i, p in enumerate(phrases)) + " ELSE 0 END"
+    fits = f"regexp_matches(line, '{include}')" + (f" AND NOT regexp_matches(line, '{exclude}')" if exclude else "")
+    return f"SELECT ocr_id, amt FROM (SELECT ocr_id, amt, row_number() OVER (PARTITION BY ocr_id ORDER BY {score} + least(idx, 80) DESC, idx) AS r FROM a WHERE {fits}) WHERE r = 1"
+
+
+_TEXT2 = "CAST(CAST(round({0}, 2) AS DECIMAL(18,2)) AS VARCHAR)"
+_SHOW = {k: _TEXT2.format(f"{k}.amt") for k in A.STRICT} | {"lhs": _TEXT2.format("subtotal.amt + tax.amt")}
+
+
+@query(
+    "ocr_semantic_checks",
+    f"""WITH {_CHECKS}, v AS (SELECT ocr_id, bool_or(passes) AS ok, first(name ORDER BY NOT passes, CASE WHEN passes THEN abs(diff) ELSE 0 END, ord) AS best FROM c GROUP BY 1)
+ SELECT o.ocr_id, 'subtotal+tax≈total_strict' AS name, abs(round(subtotal.amt + tax.amt, 2) - total.amt) <= 0.02 AS passed,
+ coalesce({_SHOW["subtotal"]} || ' + ' || {_SHOW["tax"]} || ' = ' || {_SHOW["lhs"]} || ' vs total=' || {_SHOW["total"]} || ' (tol_abs=0.02)', 'strict check: subtotal, tax or total was not read') AS details
+ FROM ocr_structured o {" ".join(f"LEFT JOIN ({_strict_sql(*v)}) {k} ON {k}.ocr_id = o.ocr_id" for k, v in A.STRICT.items())}
+ UNION ALL SELECT ocr_id, 'arith::' || name, passes, 'lhs=' || {_TEXT2.format("lhs")} || ' rhs=' || {_TEXT2.format("rhs")} || ' diff=' || {_TEXT2.format("diff")} FROM c
+ UNION ALL SELECT o.ocr_id, 'arith::overall', v.ok, 'best_explanation=' || coalesce(v.best, 'None') FROM ocr_structured o LEFT JOIN v ON v.ocr_id = o.ocr_id""",
+)
 def ocr_semantic_checks(s: SparkSession, d: str) -> DataFrame:
     return A.audit(_ocr(s, d), "text").select("ocr_id", F.explode("semantic_checks").alias("c")).select("ocr_id", F.col("c.name").alias("name"), F.col("c.passed").alias("passed"), F.col("c.details").alias("details"))
 
@@ -263,7 +281,19 @@ def judge_parse(s: SparkSession, d: str) -> DataFrame:
     return p.select("result_id", "label", "confidence", "risk_level", F.col("parse_error").isNotNull().alias("failed"))
 
 
-@query("judge_parse_skills")
+_SKILL_ROWS = "SELECT unnest([" + ", ".join(repr(k) for k in SKILLS) + "]) AS skill"
+_IS_SKILL = "(" + ", ".join(repr(k) for k in SKILLS) + ")"
+
+
+@query(
+    "judge_parse_skills",
+    f"""WITH ok AS MATERIALIZED (SELECT result_id, {_SAFE} AS j FROM ({_JSON}) WHERE {_OK}), k AS ({_SKILL_ROWS}),
+ v AS (SELECT result_id, skill, coalesce(json_extract_string(j, '$.skill_results.' || skill), CASE WHEN skill = 'typography_analysis' THEN json_extract_string(j, '$.skill_results.typography') END) AS v FROM ok CROSS JOIN k)
+ SELECT result_id, skill, CASE WHEN v IN ('pass', 'fail', 'uncertain') THEN v ELSE 'uncertain' END AS outcome FROM v
+ UNION ALL SELECT r.result_id, skill, 'uncertain' FROM judge_results r CROSS JOIN k WHERE r.result_id NOT IN (SELECT result_id FROM ok)
+ UNION ALL SELECT result_id, x, json_extract_string(j, '$.skill_results.' || x) FROM (SELECT result_id, j, unnest(json_keys(j, '$.skill_results')) AS x FROM ok)
+ WHERE x NOT IN {_IS_SKILL} AND NOT (x = 'typography' AND json_extract_string(j, '$.skill_results.typography_analysis') IS NULL)""",
+)
 def judge_parse_skills(s: SparkSession, d: str) -> DataFrame:
     p = J.parse_responses(read(s, d, "judge_results").select("result_id", "raw_response"))
     return p.select("result_id", F.explode("skill_results").alias("skill", "outcome"))
