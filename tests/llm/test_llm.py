@@ -60,6 +60,18 @@ def test_consensus_without_broadcast_is_the_same(spark):
     assert a == {r.receipt_id: r.label for r in consensus.message_passing(e, max_broadcast_annotators=2)[0].collect()}
 
 
+def test_consensus_of_nothing_and_of_numbered_ids(spark):
+    none = consensus.consensus(results(spark, [{"receipt_id": "a"}]))
+    assert [tuple(r) for r in none.items.select("receipt_id", "label", "n_votes").collect()] == [("a", "UNCERTAIN", 0)] and none.annotators.count() == 0
+    for most in (9, 1):
+        empty = consensus.message_passing(spark.createDataFrame([], "receipt_id long, judge_id int, label string"), max_broadcast_annotators=most)
+        assert (empty.items.count(), empty.annotators.count(), empty.sweeps) == (0, 0, 0)
+        e = spark.createDataFrame([(i, j, "REAL" if (i + (j == 3)) % 2 else "FAKE") for i in range(30) for j in range(4)], "receipt_id long, judge_id int, label string")
+        got = consensus.message_passing(e, max_broadcast_annotators=most)
+        assert {r.receipt_id: r.label for r in got.items.collect()} == {i: "REAL" if i % 2 else "FAKE" for i in range(30)}
+        assert {r.judge_id: r.accuracy for r in got.annotators.collect()} == {0: 1.0, 1: 1.0, 2: 1.0, 3: 0.0}
+
+
 def test_consensus_unusable_and_repeated(spark):
     ok = {"receipt_id": "a", "judge_id": "j", "reasons": ["x"], "confidence": 50.0}
     rows = [ok | {"label": "REAL", "attempt": 1}, ok | {"label": "FAKE", "attempt": 2}, ok | {"label": "FAKE", "attempt": 2}, ok | {"label": "UNCERTAIN", "confidence": 0.0, "attempt": 3}, {"receipt_id": "b", "judge_id": "j", "label": "REAL"}, {"receipt_id": "c"}, {"label": "REAL", "reasons": ["x"]}]
