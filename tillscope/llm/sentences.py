@@ -129,7 +129,7 @@ def _separate(p: Column) -> Column:
 def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout_col: str = "layout") -> DataFrame:
     """(id_col, start_char, end_char) of every unit."""
     used = MASK + LAST + END + PARA + UNIT
-    d = documents.select(F.col(id_col), F.translate(F.col(text_col), used, "\ufffd" * len(used)).alias("_t"), (F.coalesce(F.col(layout_col), F.lit("flow")) == "lines").alias("_lines"))
+    d = documents.select(F.col(id_col), F.when(F.col(text_col).rlike(f"[{used}]"), F.translate(F.col(text_col), used, "\ufffd" * len(used))).otherwise(F.col(text_col)).alias("_t"), (F.coalesce(F.col(layout_col), F.lit("flow")) == "lines").alias("_lines"))
     d = d.where(F.col("_t").rlike(rf"[^{W}]"))
     paragraphs = F.split(_sub(F.col("_t"), rf"({_LINE}[{W}&&[^\n\r]]*{_LINE}[{W}]*)", f"$1{PARA}"), PARA)
     d = staged(d, _p=F.when(F.col("_lines"), F.array(_sub(F.col("_t"), f"({_LINE})", f"$1{UNIT}"))).otherwise(paragraphs))
@@ -148,7 +148,8 @@ def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def step(acc: Column, u: Column) -> Column:
         n = F.length(u).cast("bigint")
         lead = n - F.length(F.ltrim(u, F.lit(SPACES)))
-        tail = n - F.length(F.rtrim(u, F.lit(SPACES)))
+        # Few units end with white space, and only those are trimmed there.
+        tail = F.when(F.substring(u, -1, 1).isin(*SPACES), n - F.length(F.rtrim(u, F.lit(SPACES)))).otherwise(F.lit(0).cast("bigint"))
         one = F.array(F.struct((acc["at"] + lead).alias("s"), (acc["at"] + n - tail).alias("e")))
         return F.struct((acc["at"] + n).alias("at"), F.when(lead < n, F.concat(acc["units"], one)).otherwise(acc["units"]).alias("units"))
 
