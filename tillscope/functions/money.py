@@ -19,6 +19,7 @@ from tillscope.session import let
 #: Currency marks.
 _CUR = r"(?i:RM|MYR|USD|SGD|EUR|GBP|COP|MXN|BRL|PEN|\$|€|£)"
 _TAIL = rf"(?:[.,\s](?!{ANY_DATE})\d{{3}})*(?:[.,]\d{{2,3}})?[)\-]?"
+#: The shapes of grouped and of plain amounts.
 _GROUPED = r"[(\-]?\d{1,3}(?:[.,\s]\d{3})*(?:[.,]\d{2,3})?[)\-]?"
 _PLAIN = r"[(\-]?\d+(?:[.,]\d{2,3})?[)\-]?"
 

@@ -161,6 +161,7 @@ def components(mask: np.ndarray) -> np.ndarray:
         lab = new
 
 
+#: Fixed values below: qualities, limits, scales and the percentile of the error levels.
 def mela(rgb: np.ndarray, percentile: float = 99.3, min_area: int = 120, top: int = 6) -> dict:
     """Error levels over several qualities, their local variance, and the suspicious regions."""
     x = rgb.astype(np.float64)

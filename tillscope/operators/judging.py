@@ -49,9 +49,13 @@ def coerce_confidence(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))
 
 
+#: Fixed value: what fills up a list of reasons.
+NO_REASON = "No reason provided"
+
+
 def coerce_reasons(reasons: Column) -> Column:
     four = F.slice(F.coalesce(reasons, F.array().cast("array<string>")), 1, 4)
-    return F.concat(four, F.array_repeat(F.lit("No reason provided"), F.greatest(F.lit(0), 2 - F.size(four))))
+    return F.concat(four, F.array_repeat(F.lit(NO_REASON), F.greatest(F.lit(0), 2 - F.size(four))))
 
 
 def coerce_skills(skills: Column) -> Column:
@@ -257,12 +261,12 @@ class RuleJudge:
         known = row.get("arithmetic_consistent")
         label = "FAKE" if fired else "UNCERTAIN" if known is None else "REAL"
         reasons = [f"Rule {f} holds." for f in fired[:4]] or ["No computable rule is broken.", "The arithmetic was checked."]
-        reasons += ["No reason provided"] * (2 - len(reasons))
+        reasons += [NO_REASON] * (2 - len(reasons))
         skills = {s: "uncertain" for s in SKILLS} | {"math_consistency": "uncertain" if known is None else "pass" if known else "fail"}
         return json.dumps({"label": label, "confidence": 85.0 if fired else 70.0 if known else 40.0, "reasons": reasons, "skill_results": skills, "flags": fired, "risk_level": "high" if fired else "low"})
 
 
-def rule_flags(audited: DataFrame, today: str | None = None) -> DataFrame:
+def rule_flags(audited: DataFrame) -> DataFrame:
     """Adds rule_flags: the computable rubric rules that an audited receipt breaks, as approved flags."""
     rows = F.col("lines")
     tagged = lambda tag: F.filter(rows, lambda r: F.array_contains(r["keywords"], tag))
@@ -270,6 +274,7 @@ def rule_flags(audited: DataFrame, today: str | None = None) -> DataFrame:
     norms = F.transform(rows, lambda r: r["norm"])
     currencies = F.array_distinct(F.filter(F.flatten(F.transform(rows, lambda r: F.transform(r["money"], lambda m: m["currency"]))), lambda c: c.isNotNull()))
     rate = F.round(F.col("tax") / F.col("subtotal"), 2)
+    #: The usual tax rates.
     usual = [0.05, 0.06, 0.07, 0.08, 0.09, 0.10, 0.12, 0.15, 0.18, 0.20, 0.23, 0.25]
     last_total = F.array_max(F.transform(tagged("TOTAL"), lambda r: r["idx"]))
     first_paid = F.array_min(F.transform(tagged("PAID"), lambda r: r["idx"]))
