@@ -185,6 +185,37 @@ def test_prefix_filter_loses_nothing(spark):
     assert want and want <= got
 
 
+def test_names_meet_by_words_with_a_letter_left_out(spark):
+    """Names whose words have an edit each share no gram, and meet; words that only share grams do not meet."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("BDGHJKLMNPRSTVWZ", k=n))
+
+    def typo(w):
+        i, c = rng.randrange(len(w) - 1), rng.choice("ABDEGHIJ")
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :]])
+
+    rows, groups = [], []
+    for g in range(40):
+        a, b = word(rng.randint(6, 9)), word(rng.randint(6, 9))
+        forms = [[a, b], [b, a], [typo(a), typo(b)], [b, a[1] + a[0] + a[2:]], [a + b], [typo(a) + b], [a[:3], a[3:], b], [a[:-2], a[-2:] + b + "T"]]
+        rows += [(len(rows) + i, f, [1.0] * len(f), False) for i, f in enumerate(forms)]
+        groups += [g] * len(forms)
+    schema = "id long, own array<string>, wt array<double>, ini boolean"
+    got = {(r.a, r.b) for r in names.word_pairs(spark.createDataFrame(rows, schema)).collect()}
+    clean = [i for i in range(0, len(rows), 8)]
+    want = {(i, i + k) for i in clean for k in range(1, 7)}
+    assert want <= got and {(groups[a], groups[b]) for a, b in got} == {(g, g) for g in range(40)}
+    same_end = [(i, [f"{word(3)}EFAL", f"{word(3)}OJUL"], [1.0, 1.0], False) for i in range(300)]
+    keys = spark.createDataFrame(same_end, schema).select("id", F.explode(F.array_distinct(F.transform(names._meeting_keys(F.col("own")), lambda k: k["key"]))).alias("key"))
+    assert keys.groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] < 5000  # 89,700 by grams
+
+
+def test_names_with_an_edit_in_each_word_are_linked(spark):
+    lines = [["KOBEFAL FAPOJUL BAKERY"], ["KOBAFAL FAPIJUL BAKERY"], ["ZIRUWEN TRAMODIX BAKERY"], ["ZIRU WENTRAMODIX"], ["FAPOJUL TRUMODAX"], ["IZRUWEN T BAKERY"]]
+    d = spark.createDataFrame(list(enumerate(lines)), "ocr_id long, company_lines array<string>")
+    assert {(r.ocr_id_a, r.ocr_id_b) for r in names.pairs(d).collect()} == {(0, 1), (2, 3), (2, 5), (3, 5)}
+
+
 # --- pairs ------------------------------------------------------------------------------------------------------------
 
 PROMPT = "Receipt r1. You act as an auditor and look at the evidence. The parsed total is $5.10 and the tax line reads $0.30. Weigh the printed amounts above pen marks and stamps. Answer in English with one JSON object."
