@@ -90,10 +90,16 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.col("image.origin").alias("origin"), "image")
 
 
-def texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, receipt_id, text): whole files; bytes that are no UTF-8 become replacement characters."""
-    d = spark.read.text(path, wholetext=True)
+def texts(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """(path, receipt_id, text): whole files, or one text to a line (as ``sinks.write_texts`` leaves them).
+
+    In whole files bytes that are no UTF-8 become replacement characters; a line that is no such document is an error.
+    """
     name = F.col("_metadata.file_path")
+    if not one_per_file:
+        d = spark.read.schema("receipt_id string, text string").option("mode", "FAILFAST").option("maxStringLen", 2**31 - 1).json(path)
+        return d.select(name.alias("path"), "receipt_id", "text")
+    d = spark.read.text(path, wholetext=True)
     return d.select(name.alias("path"), stem_of(name).alias("receipt_id"), F.col("value").alias("text"))
 
 

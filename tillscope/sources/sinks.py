@@ -37,6 +37,11 @@ def write_documents(df: DataFrame, path: str, partition_by: str | None = None) -
     (w.partitionBy(partition_by) if partition_by else w).json(path)
 
 
+def write_texts(df: DataFrame, path: str) -> None:
+    """(receipt_id, text), one text to a line of JSON: as many files as tasks, since a file for each text costs a folder, blocks and renames."""
+    df.select("receipt_id", "text").write.json(path)
+
+
 def write_missing(df: DataFrame, existing: DataFrame | None, path: str, key: str = "receipt_id") -> None:
     """Append the rows whose key is not written yet, so a job that is run again does nothing twice."""
     new = df if existing is None else df.join(existing.select(key), key, "left_anti")
